@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscope.llm import license_scan, mixing, near_dedup, url_filter
+from cellscope.llm import license_scan, mixing, near_dedup, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_near_dedup, op5_url_filter, op6_mixing, op9_license_scan)}
+    return {f.__name__: f for f in (op4_near_dedup, op5_url_filter, op6_mixing, op9_license_scan, op10_packing)}
