@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscope.llm import fingerprints, license_scan, mixing, near_dedup, packing, toxicity, url_filter
+from cellscope.llm import fingerprints, html_text, license_scan, mixing, near_dedup, packing, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "copy_no", "mix_key")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op8_html_text, op9_license_scan, op10_packing)}
