@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellscope.llm import fingerprints, html_text, license_scan, mixing, near_dedup, packing, toxicity, url_filter
+from cellscope.llm import chat, fingerprints, html_text, license_scan, mixing, near_dedup, packing, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    # -7 holds control strings, which the template must carry through
+    extra = spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.conversation_digests(chat.format_windows(turns))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,4 +54,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op8_html_text, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op8_html_text, op9_license_scan, op10_packing)}
