@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellscope.llm import chat, fingerprints, html_text, license_scan, mixing, near_dedup, packing, toxicity, url_filter
+from cellscope.llm import chat, fingerprints, html_text, license_scan, mixing, near_dedup, packing, toxicity, url_filter, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "copy_no", "mix_key")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -54,4 +58,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op8_html_text, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_chat, op3_toxicity, op4_near_dedup, op5_url_filter, op6_mixing, op7_vector_dedup, op8_html_text, op9_license_scan, op10_packing)}
