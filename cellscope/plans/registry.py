@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from cellscope.plans import base, q_cells
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.QUERIES["top1_cells_to_visit"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["entry", "oracle_sql", "q_cells", "queries"]
