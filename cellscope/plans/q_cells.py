@@ -131,7 +131,7 @@ _PAIRS = [("priority~new", "priority", "new_species"), ("priority~rarefied", "pr
 
 
 def _rhos(cells, pairs):
-    out = None
+    out, cells = None, cells.persist()  # a cell table, read once for each pair
     for name, x, y in pairs:
         one = S.spearman(cells, x, y).select(F.lit(name).alias("pair"), "n", "rho")
         out = one if out is None else out.unionByName(one)
