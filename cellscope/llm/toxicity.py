@@ -25,6 +25,7 @@ ids are scored and never trained on.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,8 +40,9 @@ from cellscope.llm.shared import ship
 from cellscope.llm.textarrays import chunks, span_hashes, word_spans
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
-LANDMARKS = 160
+LANDMARKS = 192
 DECAY, SPAN = 0.6, 7
+COST = 20.0
 #: A longer word is read in windows of this many characters, half overlapping.
 WIDTH = 24
 LETTERS = 32
@@ -156,18 +158,13 @@ class Model:
 
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _SPELT = re.compile(r"(?<![^\x20\x09-\x0d])(?:[^\x20\x09-\x0d][\x20\x09-\x0d]){2,}[^\x20\x09-\x0d](?![^\x20\x09-\x0d])")
+_END = re.compile(r"(?<=[.!?|])[\x20\x09-\x0d]+|\n")
 
 
 def sentences(text: str) -> list[list[str]]:
     """Words by sentence; spelt-out runs of single characters are one word."""
     text = _SPELT.sub(lambda m: re.sub(r"[\x20\x09-\x0d]", "", m[0]), text)
-    out, now = [], []
-    for w in _WORD.findall(text):
-        now.append(w)
-        if w[-1] in ".!?|" and len(w) > 1:
-            out.append(now)
-            now = []
-    return [*out, now] if now else out
+    return [w for w in (_WORD.findall(s) for s in _END.split(text)) if w]
 
 
 def _class_letters() -> str:
@@ -182,8 +179,8 @@ def _folded(words: list[str]) -> list[str]:
     gap = str.maketrans("", "", " ")
     cut = [w[:WIDTH] for w in words]
     out: list[str] = []
-    for lo in range(0, len(cut), 65536):
-        rows = letters(cut[lo : lo + 65536])
+    for lo in range(0, len(cut), 8192):
+        rows = letters(cut[lo : lo + 8192])
         flat = "".join(names[c] for c in range(LETTERS))
         table = np.array(list(flat))
         wide = table[rows]
@@ -191,7 +188,16 @@ def _folded(words: list[str]) -> list[str]:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
+def _surprise(a: int, n: int, b: int, m: int) -> float:
+    """Twice the log-likelihood ratio of a in n and b in m texts against one common share."""
+
+    def part(k: int, of: int, share: float) -> float:
+        return (k * np.log(share) if k else 0.0) + ((of - k) * np.log1p(-share) if of > k else 0.0)
+
+    return float(2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, (a + b) / (n + m)) - part(b, m, (a + b) / (n + m))))
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 120) -> np.ndarray:
     """Linear L2-loss machine by dual coordinate descent; the last column of x is constant."""
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     diagonal = (x * x).sum(axis=1) + 0.5 / cost
@@ -208,20 +214,29 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 2) -> Model:
     """From (text, toxic) rows; the same model whatever their order."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    texts = [sentences(t) for t, _ in rows]
-    raw = sorted({w for ss in texts for s in ss for w in s})
-    fold = dict(zip(raw, _folded(raw), strict=True))
-    texts = [[[fold[w] for w in s] for s in ss] for ss in texts]
     toxic = np.array([y for _, y in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return Model(None)
+    # texts as sentences of word numbers, so that the words are held once
+    number: dict[str, int] = {}
+    texts = [[array("i", [number.setdefault(w[:WIDTH], len(number)) for w in s]) for s in sentences(t)] for t, _ in rows]
+    names = _folded(list(number))
+    number.clear()
+    fold = {w: i for i, w in enumerate(dict.fromkeys(names))}
+    moved = np.array([fold[w] for w in names], np.int32)
+    texts = [[moved[np.frombuffer(s, np.int32)] for s in ss] for ss in texts]
+    words_of = list(fold)
     seen = [Counter(), Counter()]
     for ss, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({w for s in ss for w in s if len(w) >= 3})
+        if ss:
+            seen[int(y)].update(words_of[i] for i in np.unique(np.concatenate(ss)).tolist() if len(words_of[i]) >= 3)
     n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
     # first guess at what makes a text toxic: words by the log-odds of documents they are in
     odds = {w: np.log((c + 0.1) / n[1]) - np.log((seen[0][w] + 0.5) / n[0]) for w, c in seen[1].items() if c >= 2}
-    bad = sorted((w for w in odds if odds[w] > 2 and seen[1][w] >= max(3, 0.004 * n[1])), key=lambda w: (-odds[w] * seen[1][w], w))[: landmarks // 2]
+    # words that are in toxic texts more often than chance explains among so many words
+    least = 2 * np.log(max(2, len(words_of))) + 4
+    gain = {w: _surprise(seen[1][w], n[1], seen[0][w], n[0]) for w in odds if odds[w] > 1}
+    bad = sorted((w for w in gain if gain[w] > least), key=lambda w: (-gain[w], w))[: landmarks // 3]
     if not bad:
         bad = sorted(odds, key=lambda w: (-odds[w], w))[:1] or [sorted(seen[1])[0]] if seen[1] else []
     if not bad:
@@ -241,20 +256,21 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
     root = vector[:, keep] / np.sqrt(value[keep])
 
     def nystroem(words: list[str]) -> np.ndarray:
-        k = np.concatenate([features(words[i : i + 500]) @ fm.T for i in range(0, len(words), 500)])
+        k = np.concatenate([features(words[i : i + 64]) @ fm.T for i in range(0, len(words), 64)])
         return np.column_stack([k @ root, np.ones(len(words))])
 
     witnesses = Counter()
-    scores = odds
+    score = np.array([odds.get(w, -9.0) for w in words_of])
     model = Model(None)
     for _ in range(rounds):
         witnesses.clear()
         for ss, y in zip(texts, toxic, strict=True):
             if y and ss:
-                top = max((max((scores.get(w, -9.0), w) for w in s) for s in ss if s), default=(-9.0, ""))
-                if top[0] > 0:
-                    witnesses[top[1]] += 1
-        positives = [w for w, c in witnesses.items() if c >= 2 or len(witnesses) < 20] or bad
+                worst = max(ss, key=lambda s: score[s].max())  # the sentence that makes the text toxic
+                word = int(worst[np.argmax(score[worst])])
+                if score[word] > 0:
+                    witnesses[words_of[word]] += 1
+        positives = [w for w, c in witnesses.items() if gain.get(w, 0.0) > least]
         positives = sorted(set(positives) | set(bad))
         # the kernel sees inserted characters as gaps: let it learn where such words lie
         gapped = [g for w in positives for g in (" ".join(w)[:WIDTH], w[: len(w) // 2] + " " + w[len(w) // 2 :])]
@@ -262,26 +278,23 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
         negatives = list(dict.fromkeys(negatives + [" ".join(w)[:WIDTH] for w in [*usual, *hard[:300], "abcdefghijkl", "lmnopqrstuv"] if w not in set(positives)]))
         words = positives + gapped + negatives
         y = np.array([1.0] * (len(words) - len(negatives)) + [-1.0] * len(negatives))
-        cost = np.where(y > 0, 10.0 * max(1.0, len(negatives) / max(1, len(words) - len(negatives))) ** 0.5, 10.0)
+        cost = np.where(y > 0, COST * max(1.0, len(negatives) / max(1, len(words) - len(negatives))) ** 0.5, COST)
         w = _svm(nystroem(words), y, cost)
         weights = (root @ w[:-1]) @ fm
         model = Model(weights.astype(np.float32), float(w[-1]))
-        vocabulary = sorted(seen[1])
-        scores = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
-        vocabulary = clean_words
-        clean = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
-        negatives = list(dict.fromkeys(negatives + sorted((v for v in clean if clean[v] > -0.9 and seen[0][v] >= 1), key=lambda v: (-clean[v], v))[:800]))
+        score = model.margins(words_of)
+        worst_clean = sorted(((float(score[fold[v]]), v) for v in clean_words if score[fold[v]] > -0.9), key=lambda x: (-x[0], x[1]))[:800]
+        negatives = list(dict.fromkeys(negatives + [v for _, v in worst_clean]))
     # the logistic curve on whole texts
-    both = scores | clean
-    margin = np.array([max((both.get(w, -2.0) for s in ss for w in s), default=-2.0) for ss in texts])
+    margin = np.array([max((float(score[s].max()) for s in ss), default=-2.0) for ss in texts])
     model.slope, model.middle = _logistic(margin, toxic)
     return model
 
 
 def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and middle by Newton steps on smoothed targets; classes weigh alike."""
+    """Slope and middle by Newton steps on smoothed targets."""
     y = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
-    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    weight = np.full(len(toxic), 1 / len(toxic))
     x = np.column_stack([margin, np.ones(len(margin))])
     b = np.array([2.0, 0.0])
     for _ in range(50):
