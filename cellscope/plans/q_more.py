@@ -144,11 +144,14 @@ def jn11(spark, sf):
 _RING = [("A", 42.0, -140.0), ("A", 60.0, -140.0), ("A", 62.0, -110.0), ("A", 44.0, -112.0), ("B", 44.0, -108.0), ("B", 70.0, -106.0), ("B", 66.0, -60.0), ("B", 46.0, -70.0)]
 
 
-@query("jn15_nearest_polygon", f"""{_BIN}, p AS (SELECT DISTINCT CAST(floor(lat/5.0) AS INT) AS gi, CAST(floor(lon/5.0) AS INT) AS gj FROM obs), v(poly, seq, y, x) AS (VALUES {', '.join(f"('{n}', {i}, {y}e0, {x}e0)" for i, (n, y, x) in enumerate(_RING))}),
+SQL_POLYGON = f"""{_BIN}, p AS (SELECT DISTINCT CAST(floor(lat/5.0) AS INT) AS gi, CAST(floor(lon/5.0) AS INT) AS gj FROM obs), v(poly, seq, y, x) AS (VALUES {', '.join(f"('{n}', {i}, {y}e0, {x}e0)" for i, (n, y, x) in enumerate(_RING))}),
 e AS (SELECT poly, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY poly ORDER BY seq)),
 c AS (SELECT gi, gj, poly, (gj+0.5e0)*5 AS px, (gi+0.5e0)*5 AS py, e.* EXCLUDE (poly), least(1.0e0, greatest(0.0e0, (((gj+0.5e0)*5-x1)*(x2-x1)+((gi+0.5e0)*5-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p, e),
 d AS (SELECT gi, gj, poly, sum(CASE WHEN (y1>py)<>(y2>py) AND px < x1+(py-y1)*(x2-x1)/(y2-y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(px-x1-t*(x2-x1),2)+pow(py-y1-t*(y2-y1),2))) AS dd FROM c GROUP BY 1, 2, 3), f AS (SELECT *, CASE WHEN inside THEN 0 ELSE dd END AS d2 FROM d)
-SELECT gi, gj, bool_or(inside) AS inside, arg_min(poly, (d2, poly)) AS poly, min(d2) AS distance FROM f GROUP BY 1, 2""", "distance")
+SELECT gi, gj, bool_or(inside) AS inside, arg_min(poly, (d2, poly)) AS poly, min(d2) AS distance FROM f GROUP BY 1, 2"""
+
+
+@query("jn15_nearest_polygon", SQL_POLYGON, "distance")
 def jn15(spark, sf):
     points = C.binned(obs(spark, sf), 5.0).select("gi", "gj").distinct().select("gi", "gj", C.centre(F.col("gj"), 5.0).alias("px"), C.centre(F.col("gi"), 5.0).alias("py"))
     ring = spark.createDataFrame([(n, i, x, y) for i, (n, y, x) in enumerate(_RING)], "poly string, seq int, x double, y double")
