@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellscope.functions.shipping import ship
+
 STRATEGIES = ("random", "spatial_coverage", "spatial_coverage_raw", "embedding_novelty", "embedding_kmeanspp", "combined", "combined_raw")
 #: The most records a pool may have; beyond it the run is refused, never cut.
 MOST = 100_000
@@ -66,6 +68,7 @@ def discovery_runs(pool: DataFrame, strategies: tuple[str, ...], seeds: int, bud
     """(strategy, seed, step, vec_id, n_species) of every run over a pool (vec_id, species, lat,
     lon, embedding)."""
     spark = pool.sparkSession
+    ship(spark)
     size = pool.select(F.lit(1)).limit(MOST + 1).count()
     if size > MOST:
         raise ValueError(f"a pool has at most {MOST} records")

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cellscope.functions.shipping import ship
+
 
 class IdRange(InputPartition):
     def __init__(self, least: int, below: int) -> None:
@@ -34,6 +36,7 @@ class PageReader(DataSourceReader):
 
 def register(spark: SparkSession, name: str, schema: str, fetch: Callable, ranges: list[tuple[int, int]], size: int = 200) -> None:
     """Make ``spark.read.format(name)`` scan the service."""
+    ship(spark)
     label, columns = name, schema
 
     class Paged(DataSource):
