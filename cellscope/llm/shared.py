@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellscope.functions import shipping
+
 _DEFAULT = "spark.checkpoint.dir"
+BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,17 +32,10 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cellscope_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="cellscope-zip-"), "cellscope_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join("cellscope", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._cellscope_shipped = True
+    """Send this package to the executors, once for each context, and bound Arrow batches.
+
+    Texts may be long: a batch of ten thousand would take hundreds of MB on either side.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    shipping.ship(spark)
