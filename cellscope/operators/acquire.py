@@ -92,9 +92,9 @@ def curve_area(curves: DataFrame, budget: int) -> DataFrame:
 
 
 def accumulation(order: DataFrame, by: list[str]) -> DataFrame:
-    """Running number of distinct species along ``step``."""
+    """Running number of distinct species along ``step``; rows of one step are taken by species."""
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy(*by, "species").orderBy("step")) == 1
     flagged = order.withColumn("__new", first.cast("long"))
-    return flagged.withColumn("n_species", F.sum("__new").over(Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return flagged.withColumn("n_species", F.sum("__new").over(Window.partitionBy(*by).orderBy("step", "species").rowsBetween(Window.unboundedPreceding, 0))).drop("__new")

@@ -88,9 +88,14 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint") % (1 << 31)
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt over the tasks, as a small file is one partition and each row meets every replicate."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sign_flip_p(pairs: DataFrame, replicates: int) -> DataFrame:
     """Two-sided paired sign-flip test on the mean of ``d`` over ``unit``: (mean_diff, p)."""
-    draws = pairs.crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
+    draws = _spread(pairs, "unit").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
     sign = F.when(hash_int(F.lit("sign"), F.col("b"), F.col("unit")) % 2 == 0, 1.0).otherwise(-1.0)
     means = draws.groupBy("b").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
     seen = pairs.agg(F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("most"))
@@ -103,7 +108,7 @@ def bootstrap_interval(pairs: DataFrame, replicates: int) -> DataFrame:
     """95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n."""
     rows = pairs.select("d", (F.row_number().over(Window.orderBy("unit")) - 1).alias("i"))
     n = F.broadcast(rows.agg(F.count("*").alias("n")))
-    draws = rows.select(F.col("i").alias("slot")).crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b")))).crossJoin(n)
+    draws = _spread(rows.select(F.col("i").alias("slot")), "slot").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b")))).crossJoin(n)
     draws = draws.select("b", (hash_int(F.lit("boot"), F.col("b"), F.col("slot")) % F.col("n")).cast("int").alias("i"))
     means = draws.join(F.broadcast(rows), "i").groupBy("b").agg(F.avg("d").alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))

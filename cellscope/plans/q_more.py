@@ -339,6 +339,26 @@ def win12(spark, sf):
     return acquire.accumulation(obs(spark, sf).where("id % 40 = 1").select("grp", (F.col("id") * 100000 + F.col("taxon")).alias("step"), F.col("taxon").alias("species")).distinct(), ["grp"])
 
 
+# The whole tables; the queries above and their SQL read a sample of ids.
+def _all_pairs(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), ((F.col("c_custkey") * 37 % 101 - 45) / 10.0).alias("d"))
+
+
+@query("dom44_sign_flip_all")
+def dom44_all(spark, sf):
+    return S.sign_flip_p(_all_pairs(spark, sf), 500)
+
+
+@query("dom45_bootstrap_all")
+def dom45_all(spark, sf):
+    return S.bootstrap_interval(_all_pairs(spark, sf), 500)
+
+
+@query("win12_accumulation_all", f"WITH {OBS}, f AS (SELECT grp, id AS step, taxon AS species, (row_number() OVER (PARTITION BY grp, taxon ORDER BY id) = 1)::INT AS new FROM (SELECT DISTINCT grp, id, taxon FROM obs)) SELECT grp, step, species, CAST(sum(new) OVER (PARTITION BY grp ORDER BY step, species) AS BIGINT) AS n_species FROM f")
+def win12_all(spark, sf):
+    return acquire.accumulation(obs(spark, sf).select("grp", F.col("id").alias("step"), F.col("taxon").alias("species")).distinct(), ["grp"])
+
+
 @query("win11_effort_curve", f"{_BIN}, c AS (SELECT gi, count(*) AS n, count(DISTINCT taxon) AS s FROM b GROUP BY gi) SELECT gi, CAST(sum(n) OVER (ORDER BY s DESC, gi) AS BIGINT) AS effort, CAST(sum(s) OVER (ORDER BY s DESC, gi) AS BIGINT) AS found FROM c")
 def win11(spark, sf):
     c = _b(spark, sf).groupBy("gi").agg(F.count("*").alias("n"), F.count_distinct("taxon").alias("s"))
@@ -515,6 +535,21 @@ def src2(spark, sf):
     return files.read_by_group(spark, f"{path}/*.csv", files.OBS_SCHEMA).groupBy("group", "region").agg(F.count("*").alias("n"))
 
 
+@query("src1_csv_scan_all", f"WITH {OBS} SELECT id, lat, lon, taxon, day, rank FROM obs", "lat lon")
+def src1_all(spark, sf):
+    path = _folder(spark)
+    obs(spark, sf).select("id", "lat", "lon", "taxon", "day", "rank").write.option("header", True).csv(path)
+    return files.read_csv(spark, path).withColumn("day", files.day_of(F.col("day")))
+
+
+@query("src2_files_by_group_all", f"WITH {OBS} SELECT CASE WHEN grp='O' THEN 'Aves' ELSE 'Insecta' END AS \"group\", CASE WHEN grp='O' THEN 'east' ELSE 'bc' END AS region, count(*) AS n FROM obs GROUP BY 1, 2")
+def src2_all(spark, sf):
+    path, o = _folder(spark), obs(spark, sf).select("id", "lat", "lon", "taxon", "day", "rank", "grp")
+    for g, name in (("O", "inat_east_Aves.csv"), ("F", "inat_Insecta.csv")):
+        o.where(F.col("grp") == g).drop("grp").write.option("header", True).csv(f"{path}/{name}")
+    return files.read_by_group(spark, f"{path}/*.csv", files.OBS_SCHEMA).groupBy("group", "region").agg(F.count("*").alias("n"))
+
+
 @query("src4_positional_json", f"WITH {OBS}, c AS (SELECT grp, floor(lat/5)*5.0e0 AS lat, floor(lon/5)*5.0e0 AS lon, count(*) AS n FROM obs GROUP BY ALL) SELECT grp, lat, lon, n::DOUBLE AS n_train FROM c", "lat lon n_train")
 def src4(spark, sf):
     path = _folder(spark)
@@ -535,6 +570,11 @@ def src9(spark, sf):
     return _b(spark, sf).where("taxon % 40 = 0").select("taxon", "gi", "gj").distinct()
 
 
+@query("src9_occurrence_cells_all", f"{_BIN} SELECT DISTINCT taxon, gi, gj FROM b")
+def src9_all(spark, sf):
+    return _b(spark, sf).select("taxon", "gi", "gj").distinct()
+
+
 @query("snk6_hidden_keys", f"{_BIN} SELECT DISTINCT printf('%.3f,%.3f', (gi+0.5e0)*{RES}, (gj+0.5e0)*{RES}) AS key FROM b WHERE (gi + gj) % 3 = 0")
 def snk6(spark, sf):
     return _b(spark, sf).where("(gi + gj) % 3 = 0").select("gi", "gj").distinct().select(X.cell_key(C.centre(F.col("gi"), RES), C.centre(F.col("gj"), RES)).alias("key"))
