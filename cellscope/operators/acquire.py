@@ -1,7 +1,7 @@
 """Active discovery: greedy acquisition over coordinates and vectors.
 
-A run is sequential by nature, so each (strategy, seed) is one group of a grouped pandas function
-and runs in parallel with the others. The pool is a candidate set of a stated size, given to every
+A run is sequential by nature, so each seed is one group of a grouped pandas function that runs
+its strategies in turn, in parallel with the other seeds. The pool is a candidate set of a stated size, given to every
 group; it is not the observation table.
 """
 
@@ -37,11 +37,11 @@ def run_one(strategy: str, seed: int, keys: np.ndarray, lat: np.ndarray, lon: np
     far = {"geo": np.full(n, np.inf), "raw": np.full(n, np.inf), "emb": np.full(n, np.inf)}
     open_, seen, out = np.ones(n, bool), set(), []
     pick = min(int(_draw("start", seed) * n), n - 1) if n else 0
+    order = iter(sorted(range(n), key=lambda i: (_draw("pick", seed, int(keys[i])), i)) if strategy == "random" else ())
     for step in range(min(budget, n)):
         if step:
             if strategy == "random":
-                draws = [(_draw("pick", seed, int(k)), i) for i, k in enumerate(keys) if open_[i]]
-                pick = min(draws)[1]
+                pick = next(i for i in order if open_[i])
             elif strategy == "embedding_kmeanspp":
                 w = np.where(open_, np.maximum(far["emb"], 0) ** 2, 0.0)
                 w = w if w.sum() > 0 else open_.astype(float)
@@ -72,17 +72,17 @@ def discovery_runs(pool: DataFrame, strategies: tuple[str, ...], seeds: int, bud
     size = pool.select(F.lit(1)).limit(MOST + 1).count()
     if size > MOST:
         raise ValueError(f"a pool has at most {MOST} records")
-    runs = spark.range(seeds).select(F.col("id").alias("seed"), F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
-    given = runs.join(F.broadcast(pool), F.lit(True))
+    given = spark.range(seeds).select(F.col("id").alias("seed")).join(F.broadcast(pool), F.lit(True))
 
     def go(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         unit = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        found = run_one(key[0], int(key[1]), rows["vec_id"].to_numpy(), rows["lat"].to_numpy(float), rows["lon"].to_numpy(float), unit, rows["species"].to_numpy(), budget)
-        return pd.DataFrame([(key[0], key[1], *f) for f in found], columns=["strategy", "seed", "step", "vec_id", "n_species"])
+        given = rows["vec_id"].to_numpy(), rows["lat"].to_numpy(float), rows["lon"].to_numpy(float), unit, rows["species"].to_numpy()
+        found = [(s, key[0], *f) for s in strategies for f in run_one(s, int(key[0]), *given, budget)]
+        return pd.DataFrame(found, columns=["strategy", "seed", "step", "vec_id", "n_species"])
 
-    return given.groupBy("strategy", "seed").applyInPandas(go, "strategy string, seed long, step long, vec_id long, n_species long")
+    return given.groupBy("seed").applyInPandas(go, "strategy string, seed long, step long, vec_id long, n_species long")
 
 
 def curve_area(curves: DataFrame, budget: int) -> DataFrame:

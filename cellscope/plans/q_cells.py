@@ -10,6 +10,8 @@ from cellscope.operators.scaling import impact_percentile, min_max
 from cellscope.plans.base import query
 from cellscope.plans.views import COARSE, RANKS, RES, SPLIT, cells_sql, obs
 
+#: Permutations of the full null, and of the small one.
+FULL_PERMS = 2000
 PERMS = 200
 
 
@@ -156,6 +158,11 @@ def dom6(spark, sf):
     return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, PERMS)
 
 
+@query("dom6_permutation_null_full", f"WITH {cells_sql(COARSE)}, {_perm_sql('priority', 'rare_newK', FULL_PERMS)}", "rho p null_mean null_sd p_floor")
+def dom6_full(spark, sf):
+    return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, FULL_PERMS)
+
+
 def _tercile_sql(x: str, y: str, table: str = "cells") -> str:
     return f"""SELECT n, top, bottom, CASE WHEN bottom > 0 THEN top/bottom END AS ratio FROM (SELECT count(*) AS n, avg({y}) FILTER (WHERE {x} >= hi - 1e-12) AS top, avg({y}) FILTER (WHERE {x} <= lo + 1e-12) AS bottom
  FROM {table}, (SELECT quantile_cont({x}, {1 / 3!r}) AS lo, quantile_cont({x}, {2 / 3!r}) AS hi FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) WHERE {x} IS NOT NULL AND {y} IS NOT NULL) WHERE n >= 6"""

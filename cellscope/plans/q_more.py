@@ -236,11 +236,18 @@ def dom29(spark, sf):
 
 
 # ---- discovery
+#: Picks and seeds of the full runs, and of the small ones that SQL can follow; replicates of the tests.
+FULL_BUDGET, FULL_SEEDS = 300, 20
 BUDGET, SEEDS = 20, 6
+REPLICATES = 20_000
 
 
 def _runs(spark, sf, strategies=acquire.STRATEGIES):
-    return acquire.discovery_runs(pool(spark, sf), strategies, SEEDS, BUDGET).persist()
+    return acquire.discovery_runs(pool(spark, sf), strategies, FULL_SEEDS, FULL_BUDGET).persist()
+
+
+def _small_runs(spark, sf, strategy):
+    return acquire.discovery_runs(pool(spark, sf), (strategy,), SEEDS, BUDGET)
 
 
 _DOT = lambda a, b: f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -254,14 +261,23 @@ def scl4(spark, sf):
     return a.join(b, "species").where("a <> b").select("a", "b", X.cosine_distance(F.col("ea"), F.col("eb")).alias("distance"))
 
 
-_ORDER = f"""WITH {POOL}, seeds AS (SELECT CAST(s AS BIGINT) AS seed FROM range({SEEDS}) t(s)), n AS (SELECT count(*) AS n FROM pool),
+def _order_sql(seeds, budget):
+    return f"""WITH {POOL}, seeds AS (SELECT CAST(s AS BIGINT) AS seed FROM range({seeds}) t(s)), n AS (SELECT count(*) AS n FROM pool),
 st AS (SELECT seed, least(CAST(floor((('0x'||substr(md5('start:'||seed), 1, 13))::BIGINT/{float(1 << 52)!r}) * n) AS BIGINT), n-1) AS i FROM seeds, n), p AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM pool),
 o AS (SELECT seed, vec_id, species, row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN st.i = p.i THEN 0 ELSE 1 END, (('0x'||substr(md5('pick:'||seed||':'||vec_id), 1, 13))::BIGINT), p.i) - 1 AS step FROM st, p),
-f AS (SELECT *, (row_number() OVER (PARTITION BY seed, species ORDER BY step) = 1)::INT AS new FROM o WHERE step < {BUDGET}) SELECT seed, step, vec_id, CAST(sum(new) OVER (PARTITION BY seed ORDER BY step) AS BIGINT) AS n_species FROM f"""
+f AS (SELECT *, (row_number() OVER (PARTITION BY seed, species ORDER BY step) = 1)::INT AS new FROM o WHERE step < {budget}) SELECT seed, step, vec_id, CAST(sum(new) OVER (PARTITION BY seed ORDER BY step) AS BIGINT) AS n_species FROM f"""
+
+
+_ORDER = _order_sql(SEEDS, BUDGET)
 
 
 @query("dom36_random_acquisition", _ORDER)
 def dom36(spark, sf):
+    return _small_runs(spark, sf, "random").drop("strategy")
+
+
+@query("dom36_random_acquisition_full", _order_sql(FULL_SEEDS, FULL_BUDGET))
+def dom36_full(spark, sf):
     return _runs(spark, sf, ("random",)).drop("strategy")
 
 
@@ -287,11 +303,10 @@ _CENTERS = {
 
 
 def _greedy(name, strategy):
-    @query(name, _center_sql(strategy, _CENTERS[strategy]) if strategy in _CENTERS else None)
-    def run(spark, sf):
-        return _runs(spark, sf, (strategy,))
-
-    return run
+    if strategy in _CENTERS:
+        query(name, _center_sql(strategy, _CENTERS[strategy]))(lambda spark, sf: _small_runs(spark, sf, strategy))
+        name += "_full"
+    query(name)(lambda spark, sf: _runs(spark, sf, (strategy,)))
 
 
 for _n, _s in (("dom37_spatial_coverage", "spatial_coverage"), ("dom38_spatial_coverage_raw", "spatial_coverage_raw"), ("dom39_embedding_novelty", "embedding_novelty"), ("dom40_kmeanspp", "embedding_kmeanspp"), ("dom41_combined", "combined"), ("dom42_combined_raw", "combined_raw")):
@@ -300,7 +315,7 @@ for _n, _s in (("dom37_spatial_coverage", "spatial_coverage"), ("dom38_spatial_c
 
 @query("agg21_curve_area")
 def agg21(spark, sf):
-    return acquire.curve_area(_runs(spark, sf), BUDGET)
+    return acquire.curve_area(_runs(spark, sf), FULL_BUDGET)
 
 
 @query("agg22_mean_curve")
@@ -310,7 +325,7 @@ def agg22(spark, sf):
 
 @query("dom46_contrasts")
 def dom46(spark, sf):
-    at = acquire.curve_area(_runs(spark, sf), BUDGET)
+    at = acquire.curve_area(_runs(spark, sf), FULL_BUDGET)
     a = at.where("strategy = 'embedding_novelty'").select("seed", F.col("auc").alias("a"))
     d = a.join(at.where("strategy <> 'embedding_novelty'").select("seed", F.col("strategy").alias("against"), F.col("auc").alias("b")), "seed").withColumn("d", F.col("a") - F.col("b"))
     return d.groupBy("against").agg(F.avg("d").alias("mean_diff"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"))
@@ -346,12 +361,12 @@ def _all_pairs(spark, sf):
 
 @query("dom44_sign_flip_all")
 def dom44_all(spark, sf):
-    return S.sign_flip_p(_all_pairs(spark, sf), 500)
+    return S.sign_flip_p(_all_pairs(spark, sf), REPLICATES)
 
 
 @query("dom45_bootstrap_all")
 def dom45_all(spark, sf):
-    return S.bootstrap_interval(_all_pairs(spark, sf), 500)
+    return S.bootstrap_interval(_all_pairs(spark, sf), REPLICATES)
 
 
 @query("win12_accumulation_all", f"WITH {OBS}, f AS (SELECT grp, id AS step, taxon AS species, (row_number() OVER (PARTITION BY grp, taxon ORDER BY id) = 1)::INT AS new FROM (SELECT DISTINCT grp, id, taxon FROM obs)) SELECT grp, step, species, CAST(sum(new) OVER (PARTITION BY grp ORDER BY step, species) AS BIGINT) AS n_species FROM f")

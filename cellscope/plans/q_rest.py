@@ -164,6 +164,12 @@ def win13(spark, sf):
     return runs.where(F.col("step") == F.least(F.col("at"), F.lit(q_more.BUDGET)) - 1).select("seed", "at", "n_species")
 
 
+@query("win13_curve_readout_full", f"WITH o AS ({q_more._order_sql(q_more.FULL_SEEDS, q_more.FULL_BUDGET)}) SELECT seed, b.b AS at, o.n_species FROM o JOIN (VALUES (5), (10), (50)) b(b) ON o.step = b.b - 1")
+def win13_full(spark, sf):
+    runs = q_more.dom36_full(spark, sf).withColumn("at", F.explode(F.array(F.lit(5), F.lit(10), F.lit(50))))
+    return runs.where(F.col("step") == F.col("at") - 1).select("seed", "at", "n_species")
+
+
 @query("top3_largest_and_smallest", f"{_GRID}, a AS (SELECT 'largest' AS kind, gi, gj, n_all FROM grid ORDER BY n_all DESC, gi, gj LIMIT 8), z AS (SELECT 'smallest' AS kind, gi, gj, n_all FROM grid ORDER BY n_all, gi, gj LIMIT 8) SELECT * FROM a UNION ALL SELECT * FROM z")
 def top3(spark, sf):
     g = q_map.grid(spark, sf).select("gi", "gj", "n_all")
@@ -173,7 +179,7 @@ def top3(spark, sf):
 
 @query("top10_best_strategy")
 def top10(spark, sf):
-    means = acquire.curve_area(q_more._runs(spark, sf), q_more.BUDGET).groupBy("strategy").agg(F.avg("auc").alias("auc"))
+    means = acquire.curve_area(q_more._runs(spark, sf), q_more.FULL_BUDGET).groupBy("strategy").agg(F.avg("auc").alias("auc"))
     return means.agg(F.max_by("strategy", F.struct("auc", "strategy")).alias("strategy"), F.max("auc").alias("auc"))
 
 

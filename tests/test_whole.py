@@ -34,9 +34,9 @@ def test_pair_tests_read_every_customer(spark):
     units, d = customers()
     got = QUERIES["dom44_sign_flip_all"](spark, DATA).first()
     assert abs(got["mean_diff"] - d.mean()) < 1e-6 and len(units) > 40
-    assert abs(got["p"] - flips(units, d, 500)) < 1e-6
+    assert abs(got["p"] - flips(units, d, 20_000)) < 1e-6
     got = QUERIES["dom45_bootstrap_all"](spark, DATA).first()
-    assert np.abs(np.array([got["lo"], got["hi"]]) - interval(d, 500)).max() < 2e-6
+    assert np.abs(np.array([got["lo"], got["hi"]]) - interval(d, 20_000)).max() < 2e-6
 
 
 def test_whole_observations_are_read(spark):
@@ -47,3 +47,14 @@ def test_whole_observations_are_read(spark):
     assert QUERIES["src1_csv_scan_all"](spark, DATA).count() == len(t)
     assert {r["group"]: r["n"] for r in QUERIES["src2_files_by_group_all"](spark, DATA).collect()} == {"Aves": (t.l_linestatus == "O").sum(), "Insecta": (t.l_linestatus == "F").sum()}
     assert QUERIES["src9_occurrence_cells_all"](spark, DATA).select("taxon").distinct().count() == t.l_partkey.nunique()
+
+
+def test_full_numbers_of_permutations_runs_and_picks(spark):
+    assert abs(QUERIES["dom6_permutation_null_full"](spark, DATA).first()["p_floor"] - 1 / 2000) < 1e-6
+    curves = QUERIES["agg22_mean_curve"](spark, DATA).toPandas()
+    assert (curves.groupby("strategy")["step"].max() == 299).all()
+    full = {n: QUERIES[n](spark, DATA).toPandas() for n in ("dom37_spatial_coverage_full", "dom41_combined")}
+    assert all(len(f) == 20 * 300 and f["seed"].nunique() == 20 for f in full.values())
+    curve = QUERIES["dom36_random_acquisition_full"](spark, DATA).toPandas()
+    readout = QUERIES["win13_curve_readout_full"](spark, DATA).toPandas()
+    assert readout[readout["at"] == 50].set_index("seed")["n_species"].to_dict() == curve[curve["step"] == 49].set_index("seed")["n_species"].to_dict()
