@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.functions.shipping import ship
+from cellscope.operators import statistics as S
 
 STRATEGIES = ("random", "spatial_coverage", "spatial_coverage_raw", "embedding_novelty", "embedding_kmeanspp", "combined", "combined_raw")
 #: The most records a pool may have; beyond it the run is refused, never cut.
@@ -91,6 +92,42 @@ def curve_area(curves: DataFrame, budget: int) -> DataFrame:
     return per.select("strategy", "seed", ((F.col("s") + F.greatest(F.lit(0), F.lit(budget) - F.col("n")) * F.col("at_budget")) / float(budget)).alias("auc"), "at_budget")
 
 
+#: The better one at the budget stands for the name; of equals the first.
+BEST = {"best_embedding": ("embedding_novelty", "embedding_kmeanspp"), "best_spatial": ("spatial_coverage", "spatial_coverage_raw")}
+CONTRASTS = (
+    ("coverage_vs_random", "spatial_coverage", "random"), ("best_embedding_vs_coverage", "best_embedding", "spatial_coverage"), ("combined_vs_coverage", "combined", "spatial_coverage"),
+    ("kmeanspp_vs_kcenter", "embedding_kmeanspp", "embedding_novelty"), ("haversine_vs_raw_spatial", "spatial_coverage", "spatial_coverage_raw"),
+    ("best_embedding_vs_best_spatial", "best_embedding", "best_spatial"), ("combined_vs_best_spatial", "combined", "best_spatial"), ("combined_raw_vs_best_spatial", "combined_raw", "best_spatial"),
+    ("combined_raw_vs_combined", "combined_raw", "combined"),
+)
+ALPHA = 0.05
+
+
+def contrasts(per_seed: DataFrame, replicates: int) -> DataFrame:
+    """(contrast, a, b, mean_diff, lo, hi, p, wins, ties, losses, n_seeds, b_mean) of the nine pairs
+    of strategies, on species at the budget, paired by seed: per_seed (strategy, seed, at_budget)."""
+    means = {r["strategy"]: r["m"] for r in per_seed.groupBy("strategy").agg(F.avg("at_budget").alias("m")).collect()}  # one row a strategy
+    named = {k: max(v, key=lambda s: means[s]) for k, v in BEST.items()}
+    chosen = per_seed.sparkSession.createDataFrame([(c, named.get(a, a), named.get(b, b)) for c, a, b in CONTRASTS], "contrast string, a string, b string")
+    side = lambda x: per_seed.select(F.col("strategy").alias(x), "seed", F.col("at_budget").cast("double").alias(f"{x}_n"))
+    d = F.broadcast(chosen).join(side("a"), "a").join(side("b"), ["b", "seed"]).select("contrast", "a", "b", F.col("seed").alias("unit"), (F.col("a_n") - F.col("b_n")).alias("d"), "b_n").persist()
+    key, pairs = ["contrast"], d.select("contrast", "unit", "d")
+    count = d.groupBy("contrast", "a", "b").agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"), F.count("*").alias("n_seeds"), F.avg("b_n").alias("b_mean"))
+    out = count.join(S.sign_flip_p(pairs, replicates, key), key).join(S.bootstrap_interval(pairs, replicates, key), key)
+    return out.select("contrast", "a", "b", "mean_diff", "lo", "hi", "p", "wins", "ties", "losses", "n_seeds", "b_mean")
+
+
+def headline(found: DataFrame) -> DataFrame:
+    """(best_spatial, best_spatial_mean, embedding_beats, combined_beats) of ``contrasts``: a strategy
+    beats the best spatial one by a mean difference above 0 with p below ALPHA."""
+    beats = lambda c: F.bool_or((F.col("contrast") == c) & (F.col("mean_diff") > 0) & (F.col("p") < ALPHA))
+    best = F.col("contrast") == "combined_vs_best_spatial"
+    return found.agg(
+        F.max(F.when(best, F.col("b"))).alias("best_spatial"), F.max(F.when(best, F.col("b_mean"))).alias("best_spatial_mean"),
+        beats("best_embedding_vs_best_spatial").alias("embedding_beats"), beats("combined_vs_best_spatial").alias("combined_beats"),
+    )
+
+
 def accumulation(order: DataFrame, by: list[str]) -> DataFrame:
     """Running number of distinct species along ``step``; rows of one step are taken by species."""
     from pyspark.sql import Window

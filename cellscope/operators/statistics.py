@@ -93,22 +93,26 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def sign_flip_p(pairs: DataFrame, replicates: int) -> DataFrame:
-    """Two-sided paired sign-flip test on the mean of ``d`` over ``unit``: (mean_diff, p)."""
+def sign_flip_p(pairs: DataFrame, replicates: int, by: list[str] | None = None) -> DataFrame:
+    """Two-sided paired sign-flip test on the mean of ``d`` over ``unit``: (by.., mean_diff, p)."""
+    by = by or []
     draws = _spread(pairs, "unit").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
     sign = F.when(hash_int(F.lit("sign"), F.col("b"), F.col("unit")) % 2 == 0, 1.0).otherwise(-1.0)
-    means = draws.groupBy("b").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
-    seen = pairs.agg(F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("most"))
-    return means.crossJoin(F.broadcast(seen)).groupBy("mean_diff", "most").agg(F.avg((F.col("m") >= F.abs("mean_diff") - SLACK).cast("double")).alias("p")).select(
-        "mean_diff", F.when((F.col("most") < 1e-8) | (F.col("mean_diff") == 0), 1.0).otherwise(F.col("p")).alias("p")
+    means = draws.groupBy(*by, "b").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
+    seen = F.broadcast(pairs.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("most")))
+    joined = means.join(seen, by) if by else means.crossJoin(seen)
+    return joined.groupBy(*by, "mean_diff", "most").agg(F.avg((F.col("m") >= F.abs("mean_diff") - SLACK).cast("double")).alias("p")).select(
+        *by, "mean_diff", F.when((F.col("most") < 1e-8) | (F.col("mean_diff") == 0), 1.0).otherwise(F.col("p")).alias("p")
     )
 
 
-def bootstrap_interval(pairs: DataFrame, replicates: int) -> DataFrame:
-    """95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n."""
-    rows = pairs.select("d", (F.row_number().over(Window.orderBy("unit")) - 1).alias("i"))
-    n = F.broadcast(rows.agg(F.count("*").alias("n")))
-    draws = _spread(rows.select(F.col("i").alias("slot")), "slot").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b")))).crossJoin(n)
-    draws = draws.select("b", (hash_int(F.lit("boot"), F.col("b"), F.col("slot")) % F.col("n")).cast("int").alias("i"))
-    means = draws.join(F.broadcast(rows), "i").groupBy("b").agg(F.avg("d").alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+def bootstrap_interval(pairs: DataFrame, replicates: int, by: list[str] | None = None) -> DataFrame:
+    """(by.., lo, hi), the 95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n."""
+    by = by or []
+    rows = pairs.select(*by, "d", (F.row_number().over(Window.partitionBy(*by).orderBy("unit")) - 1).alias("i"))
+    n = F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    slots = _spread(rows.select(*by, F.col("i").alias("slot")), "slot").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
+    draws = slots.join(n, by) if by else slots.crossJoin(n)
+    draws = draws.select(*by, "b", (hash_int(F.lit("boot"), F.col("b"), F.col("slot")) % F.col("n")).cast("int").alias("i"))
+    means = draws.join(F.broadcast(rows), [*by, "i"]).groupBy(*by, "b").agg(F.avg("d").alias("m"))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))

@@ -325,10 +325,7 @@ def agg22(spark, sf):
 
 @query("dom46_contrasts")
 def dom46(spark, sf):
-    at = acquire.curve_area(_runs(spark, sf), FULL_BUDGET)
-    a = at.where("strategy = 'embedding_novelty'").select("seed", F.col("auc").alias("a"))
-    d = a.join(at.where("strategy <> 'embedding_novelty'").select("seed", F.col("strategy").alias("against"), F.col("auc").alias("b")), "seed").withColumn("d", F.col("a") - F.col("b"))
-    return d.groupBy("against").agg(F.avg("d").alias("mean_diff"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"))
+    return acquire.contrasts(acquire.curve_area(_runs(spark, sf), FULL_BUDGET), REPLICATES)
 
 
 _PAIRS = "prs AS (SELECT c_custkey AS unit, (c_custkey*37 % 101 - 45)/10.0e0 AS d FROM customer WHERE c_custkey <= 40)"

@@ -273,8 +273,7 @@ def dom26(spark, sf):
 
 @query("dom47_headline")
 def dom47(spark, sf):
-    c = q_more.dom46(spark, sf)
-    return c.agg(F.count_if(F.col("mean_diff") > 0).alias("ahead"), F.count("*").alias("n"), F.max_by("against", "mean_diff").alias("weakest"))
+    return acquire.headline(q_more.dom46(spark, sf))
 
 
 @query("dom51_richness_trend", f"{_BIN}, c AS (SELECT gi, count(DISTINCT taxon) AS s, avg(lat - gi) AS g FROM b GROUP BY gi), r AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)/2.0e0 AS a, rank() OVER (ORDER BY round(g, 9)) + (count(*) OVER (PARTITION BY round(g, 9)) - 1)/2.0e0 AS b FROM c) SELECT count(*) AS n, corr(a, b) AS rho FROM r", "rho")

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow.parquet as pq
 
+from cellscope.operators import acquire
 from cellscope.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +59,27 @@ def test_full_numbers_of_permutations_runs_and_picks(spark):
     curve = QUERIES["dom36_random_acquisition_full"](spark, DATA).toPandas()
     readout = QUERIES["win13_curve_readout_full"](spark, DATA).toPandas()
     assert readout[readout["at"] == 50].set_index("seed")["n_species"].to_dict() == curve[curve["step"] == 49].set_index("seed")["n_species"].to_dict()
+
+
+def test_contrasts_and_headline(spark):
+    rng = np.random.default_rng(5)
+    at = {s: rng.integers(20, 30, 12) for s in acquire.STRATEGIES}
+    at["spatial_coverage_raw"] = at["spatial_coverage"] + 1
+    at["embedding_novelty"] = at["spatial_coverage_raw"] + 5
+    at["embedding_kmeanspp"] = at["spatial_coverage"]
+    at["combined"] = at["spatial_coverage_raw"] + np.array([6] + [0, 1, -1] * 3 + [0, -1])  # ahead by noise only
+    rows = [(s, i, int(v)) for s, vs in at.items() for i, v in enumerate(vs)]
+    found = acquire.contrasts(spark.createDataFrame(rows, "strategy string, seed long, at_budget long"), 400)
+    got = {r["contrast"]: r for r in found.collect()}
+    best = {"best_embedding": "embedding_novelty", "best_spatial": "spatial_coverage_raw"}
+    assert len(got) == 9
+    for name, a, b in acquire.CONTRASTS:
+        r, d = got[name], (at[best.get(a, a)] - at[best.get(b, b)]).astype(float)
+        assert (r["a"], r["b"], r["n_seeds"]) == (best.get(a, a), best.get(b, b), 12)
+        assert (r["wins"], r["ties"], r["losses"]) == ((d > 0).sum(), (d == 0).sum(), (d < 0).sum())
+        assert abs(r["mean_diff"] - d.mean()) < 1e-9 and abs(r["p"] - (flips(range(12), d, 400) if d.any() else 1.0)) < 1e-9
+        assert np.abs(np.array([r["lo"], r["hi"]]) - interval(d, 400)).max() < 1e-9
+    noise = got["combined_vs_best_spatial"]
+    assert noise["mean_diff"] > 0 and noise["p"] > 0.05
+    head = acquire.headline(found).first()
+    assert (head["best_spatial"], head["embedding_beats"], head["combined_beats"]) == ("spatial_coverage_raw", True, False)
