@@ -31,7 +31,8 @@ from cellscope.llm.textarrays import _TABLE, _powers, mix
 
 BINS = 128
 LEVELS = 6
-#: Phrases of the first level count in shorter texts only (bytes): elsewhere they are too common.
+#: From this length on (bytes) phrases of the first level weigh less, in inverse proportion, as they
+#: are too common in long texts. The weight has no step, so near copies draw from like pools.
 SHORT = 256
 BATCH_BYTES = 1 << 20
 _U = np.uint64
@@ -115,12 +116,11 @@ def sketches(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, levels: in
     """Tags of many texts, one row of ``bins`` 16-bit numbers each; 0 marks an empty bin."""
     n = len(offsets) - 1
     best = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
-    short = np.diff(offsets) < SHORT
+    first_weight = np.minimum(1.0, SHORT / np.maximum(np.diff(offsets), 1))
     for level, names, lengths, bounds in parse(data, offsets, levels):
         owner = np.repeat(np.arange(n), np.diff(bounds))
         if level == 1:
-            keep = short[owner]
-            names, lengths, owner = names[keep], lengths[keep], owner[keep]
+            lengths = lengths * first_weight[owner]
         draw = mix(names + _U(level))
         race = -np.log(((draw >> _U(40)).astype(np.float64) + 0.5) * 2.0**-24) / lengths
         entry = (race.astype(np.float32).view(np.uint32).astype(np.uint64) << _U(32)) | (draw & _U(0x7FFF)) + _U(1)
