@@ -25,7 +25,8 @@ from cellscope.llm.shared import ship
 
 # Element names and the words of class, id and role that tell what a container is.
 SILENT = frozenset("script style noscript template svg math iframe object select textarea button title head canvas audio video".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select".split())
+#: Their contents are not markup and end at their own end tag only.
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header".split())
@@ -108,6 +109,7 @@ def classify(tree: tuple | int, row: tuple) -> int:
 
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -130,6 +132,42 @@ def _container(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     return furniture, main
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags and texts; after the start tag of a raw element the next token is its own end tag."""
+    at = 0
+    while at < len(page):
+        for token in _TOKEN.finditer(page, at):
+            yield token
+            at = token.end()
+            tag = token[2] and not token[1] and not token[3].endswith("/") and token[2].lower()
+            if tag in RAW:
+                end = _RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
+                break
+
+
+def _visible(page: str) -> Iterator[re.Match]:
+    """Tokens outside silent elements. Each end tag closes the last open start tag of its name; an
+    element that is never closed silences nothing, but raw ones, which run to the page's end."""
+    tokens = list(_tokens(page))
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, token in enumerate(tokens):
+        tag = token[2] and token[2].lower()
+        if tag in SILENT and tag != "head":
+            if token[1]:
+                if opened.get(tag):
+                    ends[opened[tag].pop()] = i
+            elif not token[3].endswith("/"):
+                opened.setdefault(tag, []).append(i)
+    i = 0
+    while i < len(tokens):
+        tag = tokens[i][2] and tokens[i][2].lower()
+        if tag not in SILENT or tag == "head":
+            yield tokens[i]
+        i = ends.get(i, i) + 1
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in main, in furniture, heading) in page order."""
     out = []
@@ -137,7 +175,6 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     linked = 0
     stack: list[tuple[str, bool, bool]] = []
     main = furniture = links = headings = 0
-    silent = ""
 
     def close() -> None:
         nonlocal parts, linked
@@ -156,26 +193,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             links -= tag == "a"
             headings -= tag in HEADINGS
 
-    for token in _TOKEN.finditer(page):
+    for token in _visible(page):
         tag = token[2]
         if tag is None:
             text = token[0]
-            if not silent and text[0] != "<" or text == "<" and not silent:
+            if text[0] != "<" or text == "<":
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
                 if links:
                     linked += len(text.split())
             continue
         tag = tag.lower()
-        if silent:
-            # raw elements end at their own end tag only
-            if token[1] and tag == silent:
-                silent = ""
-            continue
-        if tag in SILENT and tag != "head":
-            if not token[1] and not token[3].endswith("/"):
-                silent = tag
-            continue
         if tag not in INLINE:
             close()
         elif tag == "br":
