@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.llm.shared import ship
-from cellscope.llm.textarrays import _TABLE, _powers, mix
+from cellscope.llm.textarrays import mix
 
 BINS = 128
 LEVELS = 6
@@ -93,6 +93,20 @@ def phrase_starts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
+def _names(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of phrases, symbol by symbol. A run counts by its symbol and length; other phrases
+    are short, as labels below 6 have a local maximum every few places."""
+    sizes = ends - starts
+    names = mix(sizes.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    run = (sizes > 1) & (symbols[starts] == symbols[np.minimum(starts + 1, len(symbols) - 1)])
+    steps = np.where(run, 1, sizes)
+    live = np.arange(len(starts))
+    for k in range(int(steps.max(initial=0))):
+        live = live[steps[live] > k] if k else live
+        names[live] = mix((names[live] ^ symbols[starts[live] + k].astype(np.uint64)) * _U(0xE7037ED1A0B428DB))
+    return names
+
+
 def parse(data: np.ndarray, offsets: np.ndarray, levels: int = LEVELS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(level, names, byte lengths, first phrase of each text closed by their number), level by level."""
     filled = offsets[:-1] < offsets[1:]
@@ -102,11 +116,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, levels: int = LEVELS) -> Iterat
             return
         starts = np.flatnonzero(phrase_starts(symbols, bounds[:-1][filled]))
         ends = np.append(starts[1:], len(symbols))
-        up, down = _powers(len(symbols) + 1)
-        sums = np.empty(len(symbols) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_TABLE[symbols] if level == 1 else symbols) * up[: len(symbols)], out=sums[1:])
-        names = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        names = _names(symbols, starts, ends)
         at = starts if at is None else at[starts]
         yield level, names, np.diff(np.append(at, len(data))), np.searchsorted(starts, bounds)
         symbols, bounds = names, np.searchsorted(starts, bounds)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.llm.shared import ship, spool
-from cellscope.llm.textarrays import chunks, mix
+from cellscope.llm.textarrays import LONG, LOW_BYTES, chunks, octets, span_hashes
 
 WINDOW = 1024
 END_ID = 0
@@ -105,7 +105,7 @@ class WordEncoder:
     each distinct pre-token is encoded once and kept while memory allows.
     """
 
-    KEEP = 3_000_000
+    KEEP, KEEP_BYTES = 3_000_000, 1 << 26
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -126,6 +126,9 @@ class WordEncoder:
         self.where = np.zeros(0, np.int64)  # by number of the pre-token, in the ids
         self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16)
+        self.bytes = np.zeros(0, np.uint8)  # of all pre-tokens, end to end
+        self.byte_at = np.zeros(0, np.int64)
+        self.byte_sizes = np.zeros(0, np.int64)
 
     _classes: np.ndarray | None = None
 
@@ -191,14 +194,19 @@ class WordEncoder:
         special = {i: np.array(self.bpe.encode(texts[i], allowed_special="all"), np.uint16) for i in odd}
         plain = [("" if i in special else t) for i, t in enumerate(texts)] if odd else texts
         joined = "".join(plain)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = np.array([len(t) for t in plain], np.int64)
         at = np.concatenate([[0], np.cumsum(lengths)])
         if len(points):
             first = np.zeros(len(points), bool)
             first[at[:-1][lengths > 0]] = True
             starts = np.flatnonzero(self.borders(points, first))
-            ids, sizes = self._lookup(joined, points, starts)
+            data = np.frombuffer(joined.encode(), np.uint8)
+            byte_at = starts
+            if len(data) != len(points):  # some take several bytes
+                width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+                byte_at = (np.cumsum(width) - width)[starts]
+            ids, sizes = self._lookup(data, byte_at, np.append(byte_at[1:], len(data)))
             token_at = np.concatenate([[0], np.cumsum(sizes)])
             offsets = token_at[np.searchsorted(starts, at)]
         else:
@@ -208,51 +216,77 @@ class WordEncoder:
             ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, offsets
 
-    def _lookup(self, joined: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.append(starts[1:], len(points))
-        sums = np.empty(len(points) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.point_hashes()[points] * self._powers(len(points)), out=sums[1:])
-        keys = mix((sums[ends] - sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each pre-token. A hash only says where to look: the bytes of a
+        pre-token are compared with those that were encoded under it."""
+        keys = span_hashes(data, starts, ends, lower=False)
         at = self.seen.find(keys)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             fresh, one = np.unique(keys[missing], return_index=True)
-            if len(self.seen.keys) + len(fresh) > self.KEEP and len(self.seen.keys):
+            if (len(self.seen.keys) + len(fresh) > self.KEEP or len(self.bytes) > self.KEEP_BYTES) and len(self.seen.keys):
                 self.clear()
-                return self._lookup(joined, points, starts)
+                return self._lookup(data, starts, ends)
             spots = missing[one]
-            piece = self.bpe._core_bpe.encode_single_piece
-            coded = [piece(joined[a:b].encode()) for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
-            sizes = np.fromiter(map(len, coded), np.int32, len(coded))
-            self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes.sum()))])
+            words = self._spans(data, starts[spots], ends[spots])
+            self._keep(words, [self._piece(w) for w in words])
             self.seen.add(fresh)
             at[missing] = self.seen.find(keys[missing])
-        sizes = self.sizes[at].astype(np.int64)
-        stop = np.cumsum(sizes)
-        index = np.repeat(self.where[at] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)
-        return self.ids[index], sizes
+        long = np.flatnonzero(ends - starts > 7)  # shorter ones never share a hash
+        if len(long):
+            wrong = long[~self._same(data, starts[long], ends[long], at[long])]
+            if len(wrong):
+                at = at.astype(np.int64)
+                words = self._spans(data, starts[wrong], ends[wrong])
+                at[wrong] = len(self.seen.keys) + np.arange(len(wrong))
+                return self._gather(at, [self._piece(w) for w in words])
+        return self._gather(at, [])
+
+    def _piece(self, word: bytes) -> list[int]:
+        text = word.decode()
+        return self.bpe.encode_ordinary(text) if text else []
 
-    _hashes: np.ndarray | None = None
+    @staticmethod
+    def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _keep(self, words: list[bytes], coded: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+        self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes.sum()))])
+        spans = np.fromiter(map(len, words), np.int64, len(words))
+        self.byte_at = np.concatenate([self.byte_at, len(self.bytes) + np.cumsum(spans) - spans])
+        self.byte_sizes = np.concatenate([self.byte_sizes, spans])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes that its entry was made from."""
+        sizes, kept = ends - starts, self.byte_at[at]
+        out = self.byte_sizes[at] == sizes
+        mine, theirs, done = octets(data), octets(self.bytes), 0
+        live = np.flatnonzero(out & (sizes <= LONG))
+        while len(live):
+            part = LOW_BYTES[np.minimum(sizes[live] - done, 8)]
+            out[live] &= (mine[starts[live] + done] & part) == (theirs[kept[live] + done] & part)
+            done += 8
+            live = live[sizes[live] > done]
+        for i in np.flatnonzero(out & (sizes > LONG)).tolist():
+            out[i] = np.array_equal(data[starts[i] : ends[i]], self.bytes[kept[i] : kept[i] + sizes[i]])
+        return out
 
-    @classmethod
-    def point_hashes(cls) -> np.ndarray:
-        if cls._hashes is None:
-            cls._hashes = mix(np.arange(1, 0x110001, dtype=np.uint64))
-        return cls._hashes
-
-    _up = _down = np.zeros(0, np.uint64)
-
-    def _powers(self, n: int) -> np.ndarray:
-        if len(self._up) < n + 1:
-            base = 0x9E3779B97F4A7C15 | 1
-            size = max(n + 1, 1 << 20)
-            up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self._up[:n]
+    def _gather(self, at: np.ndarray, more: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries end to end; numbers past the last entry stand for ``more``."""
+        where, all_sizes, ids = self.where, self.sizes, self.ids
+        if more:
+            extra = np.fromiter(map(len, more), np.int32, len(more))
+            where, all_sizes = np.concatenate([where, len(ids) + np.cumsum(extra) - extra]), np.concatenate([all_sizes, extra])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint16, int(extra.sum()))])
+        sizes = all_sizes[at].astype(np.int64)
+        stop = np.cumsum(sizes)
+        index = np.repeat(where[at] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)
+        return ids[index], sizes
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-LOWER_TABLE = _TABLE[LOWER]
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes that a span hash reads in a vector step; longer spans go through a digest.
+LONG = 64
+#: Masks that keep the first bytes of eight.
+LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_TOP = _U(1 << 63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,19 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > 4 * CHUNK_BYTES:  # a rare giant is not worth keeping the memory
-            return up, down
-        _POWERS.update(up=up, down=down)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -80,13 +68,40 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER_TABLE) -> np.ndarray:
-    """64-bit hashes of spans: differences of one polynomial prefix sum, moved to a common origin."""
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEPS[0])
+def octets(data: np.ndarray) -> np.ndarray:
+    """At each index the eight bytes from there on as one number; past the end they are zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of spans, A-Z read as a-z unless ``lower`` is off.
+
+    Spans of at most seven bytes never share a hash. Longer ones are mixed eight bytes at a time,
+    or digested beyond LONG bytes, so two share one by chance only, whatever their pattern.
+    """
+    if lower:
+        data = LOWER[data]
+    sizes = ends - starts
+    view = octets(data)
+    out = view[starts] & LOW_BYTES[np.minimum(sizes, 8)]
+    out |= np.where(sizes <= 7, sizes, 0).astype(np.uint64) << _U(56)
+    at = np.flatnonzero((sizes > 7) & (sizes <= LONG))
+    h, done = mix(out[at] ^ (sizes[at].astype(np.uint64) * _STEPS[0])), 8
+    while True:
+        more = np.flatnonzero(sizes[at] > done)
+        if not len(more):
+            break
+        left = at[more]
+        h[more] = mix((h[more] ^ (view[starts[left] + done] & LOW_BYTES[np.minimum(sizes[left] - done, 8)])) * _STEPS[2])
+        done += 8
+    out[at] = h | _TOP
+    far = np.flatnonzero(sizes > LONG)
+    if len(far):
+        raw = data.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True))
+        out[far] = np.frombuffer(digests, "<u8") | _TOP
+    return mix(out)
 
 
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
