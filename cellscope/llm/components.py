@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.llm.shared import spool
+from cellscope.llm.shared import drop_spooled, spool
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: hang the smaller neighbours, and the node, on the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = spool(small.where("u <> v").distinct(), "small")
+        before, now = now, spool(small.where("u <> v").distinct(), "small")
+        drop_spooled(before)
+        drop_spooled(large)
         # stable when every node has one parent and no parent has one
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (mark["n"], mark["h"]):

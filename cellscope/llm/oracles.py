@@ -50,11 +50,13 @@ def _hex(text: str) -> str:
 
 
 MIX = f"""WITH RECURSIVE c AS (SELECT source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY 1), t AS (SELECT source, (sum(n) OVER ())*1.0e0/((count(*) OVER ())*n) AS mean FROM c),
-k AS (SELECT source, mean, 0 AS k, -mean AS lp, exp(-mean) AS cdf, CAST(ceil(mean + 12*sqrt(mean) + 20) AS INT) AS top FROM t UNION ALL SELECT source, mean, k+1, lp + ln(mean) - ln(CAST(k+1 AS DOUBLE)), cdf + exp(lp + ln(mean) - ln(CAST(k+1 AS DOUBLE))), top FROM k WHERE k < top),
-u AS (SELECT doc_id, source, {_hex(f"'count{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')")} AS u FROM documents),
-q AS (SELECT u.doc_id, u.source, (SELECT count(*) FROM k WHERE k.source IS NOT DISTINCT FROM u.source AND k.cdf <= u.u) AS n FROM u),
-e AS (SELECT doc_id, source, CAST(unnest(range(1, n + 1)) AS INT) AS copy_no FROM q WHERE n > 0)
-SELECT doc_id, source, copy_no, md5('order{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy_no) AS mix_key FROM e"""
+g AS (SELECT source, parts, mean/parts AS mean FROM (SELECT *, greatest(1, CAST(ceil(mean/{mixing.PART_MEAN}e0) AS BIGINT)) AS parts FROM t)),
+k AS (SELECT source, mean, 0 AS k, -mean AS lp, exp(-mean) AS cdf, CAST(ceil(mean + 12*sqrt(mean) + 20) AS INT) AS top FROM g UNION ALL SELECT source, mean, k+1, lp + ln(mean) - ln(CAST(k+1 AS DOUBLE)), cdf + exp(lp + ln(mean) - ln(CAST(k+1 AS DOUBLE))), top FROM k WHERE k < top),
+p AS (SELECT d.*, unnest(range(g.parts)) AS part FROM documents d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+u AS (SELECT *, {_hex(f"'count{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || part")} AS u FROM p),
+q AS (SELECT u.*, (SELECT count(*) FROM k WHERE k.source IS NOT DISTINCT FROM u.source AND k.cdf <= u.u) AS n FROM u),
+e AS (SELECT doc_id, text, lang, source, n_chars, part*{mixing.NUMBERS} + unnest(range(1, n + 1)) AS copy_no FROM q WHERE n > 0)
+SELECT *, md5('order{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy_no) AS mix_key FROM e"""
 
 
 # ---- op7

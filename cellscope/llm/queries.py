@@ -37,8 +37,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix_sources(docs).select("doc_id", "source", "copy_no", "mix_key")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
