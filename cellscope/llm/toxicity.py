@@ -1,31 +1,37 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Kernel: gapped subsequences of three letters, weighted by DECAY ** span (span at most SPAN),
-divided by the root of the squared weights of a word's own triples. Letters are folded (case, accents, look-alikes such as 0 and @);
-everything else is a gap that lengthens spans, so ``i-d!i.o.t`` stays near ``idiot``. Runs of
-single-letter words are read as one word.
+divided by the root of the squared weights of a string's own triples. Letters are folded (case,
+accents, look-alikes such as 0 and @); other alphabets have classes of their own, an ideograph or
+syllable is spelt as three of them; everything else is a gap that lengthens spans, so
+``i-d!i.o.t`` stays near ``idiot``. Runs of single-letter words are read as one word; each
+ideograph is a word.
 
-Landmarks are words of the training texts; features are K(words, landmarks) K(landmarks)^-1/2; a
-linear machine is fitted on them by dual coordinate descent. As the kernel is a plain inner product over letter
-triples, the fitted machine folds into one weight per triple, and scoring a word needs no landmark.
+A sentence is read as its spans: words and pairs of neighbouring words, the white space between
+them a gap that subsequences cross. So both a word and a phrase of harmless words can be abuse,
+and a word cut in two is still seen. A sentence scores as its worst span, a text as its worst
+sentence; a logistic curve fitted on the training texts turns that into 0 to 1.
 
 Training is on labelled sentences in the manner of multiple instances: a clean document's
-sentences are all clean, a toxic one has at least one toxic sentence, found anew in each round.
-A sentence scores as its worst word, a text as its worst sentence; a logistic curve fitted on the
-training texts turns that into 0 to 1.
+sentences, and so all their spans, are clean; a toxic one has a toxic sentence, whose witnesses
+are spans that toxic documents hold more often than chance explains. Landmarks are spans; features
+are K(spans, landmarks) K(landmarks)^-1/2; a linear machine is fitted on them by dual coordinate
+descent, then again with the clean spans that it got worst. As the kernel is an inner product over
+letter triples, the machine folds into one weight per triple, and scoring needs no landmark.
 
-Training reads a bounded sample: at most MAX_TOXIC + MAX_CLEAN labelled documents by hash order,
-of at most MAX_CHARS characters each. Scoring reads every text whole.
+Bounds of the fit: MAX_TOXIC + MAX_CLEAN labelled documents by hash order, of at most MAX_CHARS
+characters each; LANDMARKS landmarks; of clean spans the USUAL most frequent, and the HARD nearest to
+the positives, then the WORST by score, serve as negatives. All significant spans are positives
+and words enter whole. Scoring reads every text whole.
 
 Defined results: null, empty and wordless texts score as clean (0); without toxic or clean labels
 every score is 0; repeated rows score alike; conflicting labels of one id count as toxic; null
-ids are scored and never trained on.
+ids are scored and never trained on; other columns, of any name, are kept where rows are.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,28 +40,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellscope.llm.packing import HashIndex
-from cellscope.llm.shared import ship
+from cellscope.llm.shared import column, ship, unused
 from cellscope.llm.textarrays import chunks, span_hashes, word_spans
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
-LANDMARKS = 192
+LANDMARKS, USUAL, HARD, WORST = 256, 600, 1200, 800
 DECAY, SPAN = 0.6, 7
 COST = 20.0
-#: A longer word is read in windows of this many characters, half overlapping.
+#: A longer word is read in windows of this many letters, half overlapping.
 WIDTH = 24
-LETTERS = 32
+#: Letters of a word that a triple crossing into its neighbour can hold.
+REACH = SPAN - 2
+#: Classes: 0 gap, 1-26 Latin letters, the others for the letters of all other scripts.
+LETTERS = 64
+_OTHER = LETTERS - 27
 
 # Look-alikes of letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Code points from _WIDE on are spelt in three classes (but for the private ones, which name classes).
+_WIDE, _PRIVATE = 0x3000, 0xE000
 
 
 def _letter_table() -> np.ndarray:
-    """0 gap, 1-26 letters, 27-31 other scripts by hash, for code points below 0x3000; beyond, 27."""
+    """Classes of the code points below _WIDE."""
     import unicodedata
 
-    out = np.zeros(0x3000, np.uint8)
+    out = np.zeros(_WIDE, np.uint8)
     for i in range(len(out)):
         c = LOOKALIKES.get(chr(i), chr(i))
         if c == "ß":
@@ -64,18 +77,49 @@ def _letter_table() -> np.ndarray:
         if "a" <= base <= "z":
             out[i] = ord(base) - 96
         elif base.isalpha():
-            out[i] = 27 + ord(base) % 5
+            out[i] = 27 + ord(base) % _OTHER
     return out
 
 
 _LETTER = _letter_table()
 
 
+def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all words end to end, offsets by word)."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    codes = _LETTER[np.minimum(points, _WIDE - 1)]
+    if not len(points) or points.max() < _WIDE:
+        return codes, np.concatenate([[0], np.cumsum(sizes)])
+    wide = points >= _WIDE
+    named = wide & (points >= _PRIVATE) & (points < _PRIVATE + LETTERS)
+    mark = wide & ((points < 0x3040) | ((points >= 0xFE30) & (points < 0xFE70)) | ((points >= 0xFFF0) & (points < 0x10000)) | ((points >= 0x1F000) & (points < 0x20000)))
+    full = (points >= 0xFF01) & (points <= 0xFF5E)  # full-width forms of ASCII
+    codes[named] = points[named] - _PRIVATE
+    codes[mark] = 0
+    codes[full] = _LETTER[points[full] - 0xFEE0]
+    three = wide & ~named & ~mark & ~full
+    times = np.where(three, 3, 1)
+    at = np.repeat(np.arange(len(points)), times)
+    digit = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    number = points.astype(np.int64)[at] * 7919 % _OTHER**3
+    out = np.where(three[at], 27 + number // np.array([1, _OTHER, _OTHER**2])[digit] % _OTHER, codes[at]).astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(times)])[np.cumsum(sizes)]
+    return out, np.concatenate([[0], ends])
+
+
 def letters(words: list[str]) -> np.ndarray:
-    """Words, at most WIDTH long, as rows of letter classes, padded with gaps."""
-    width = max(map(len, words), default=1) or 1
-    points = np.array([w.ljust(width, "\0") for w in words], f"<U{width}").view(np.uint32).reshape(len(words), width)
-    return np.where(points < len(_LETTER), _LETTER[np.minimum(points, len(_LETTER) - 1)], 27).astype(np.uint8)
+    """Words as rows of letter classes, padded with gaps."""
+    codes, offsets = spelt(words)
+    return _rows(codes, offsets[:-1], offsets[1:])
+
+
+def _rows(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
+    out = np.zeros((len(starts), max(1, int(sizes.max(initial=1)))), np.uint8)
+    inside = np.arange(out.shape[1]) < sizes[:, None]
+    out[inside] = codes[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+    return out
 
 
 def _triples(width: int, span: int = SPAN) -> Iterator[tuple[int, int, int]]:
@@ -85,35 +129,90 @@ def _triples(width: int, span: int = SPAN) -> Iterator[tuple[int, int, int]]:
                 yield i, j, k
 
 
-def sizes_of(rows: np.ndarray) -> np.ndarray:
-    """What a word's features are divided by: the root of the squared weights of its triples."""
+#: Triples that lie in both of two words, REACH letters each side of a gap.
+CROSSING = [t for t in _triples(2 * REACH + 1) if t[0] < REACH < t[2] and t[1] != REACH]
+
+
+def squares_of(rows: np.ndarray, triples: list | None = None) -> np.ndarray:
+    """Squared weights of each row's triples; their root is what its features are divided by."""
     out = np.zeros(len(rows), np.float32)
     whole = rows > 0
-    for i, j, k in _triples(rows.shape[1]):
+    for i, j, k in triples or _triples(rows.shape[1]):
         out += (whole[:, i] & whole[:, j] & whole[:, k]) * np.float32(DECAY ** (2 * (k - i + 1)))
-    return np.sqrt(out)
+    return out
 
 
-def project(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Inner products of the words' unnormalised features with triple weights."""
+def project(rows: np.ndarray, weights: np.ndarray, triples: list | None = None) -> np.ndarray:
+    """Inner products of the rows' unnormalised features with triple weights."""
     out = np.zeros(len(rows), np.float32)
     wide = rows.astype(np.int32)
-    for i, j, k in _triples(rows.shape[1]):
+    high, low = wide * LETTERS * LETTERS, wide * LETTERS
+    for i, j, k in triples or _triples(rows.shape[1]):
         # class 0 has weight 0 in every triple
-        out += np.float32(DECAY ** (k - i + 1)) * weights[(wide[:, i] * LETTERS + wide[:, j]) * LETTERS + wide[:, k]]
+        out += np.float32(DECAY ** (k - i + 1)) * weights[high[:, i] + low[:, j] + wide[:, k]]
     return out
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Normalised feature vectors over all letter triples, a dense row each (for few words)."""
-    rows = letters(words).astype(np.int32)
-    out = np.zeros((len(words), LETTERS**3), np.float32)
-    at = np.arange(len(words))
-    for i, j, k in _triples(rows.shape[1]):
-        whole = (rows[:, i] > 0) & (rows[:, j] > 0) & (rows[:, k] > 0)
-        np.add.at(out, (at[whole], ((rows[:, i] * LETTERS + rows[:, j]) * LETTERS + rows[:, k])[whole]), np.float32(DECAY ** (k - i + 1)))
-    size = sizes_of(rows)[:, None]
-    return out / np.where(size > 0, size, 1)
+class Landmarks:
+    """Normalised features of the landmarks, by the triples that they hold."""
+
+    def __init__(self, spans: list[str]) -> None:
+        rows = letters(spans).astype(np.int32)
+        size = np.sqrt(squares_of(rows))
+        found, owner, value = [], [], []
+        for i, j, k in _triples(rows.shape[1]):
+            at = np.flatnonzero((rows[:, i] > 0) & (rows[:, j] > 0) & (rows[:, k] > 0))
+            found.append((rows[at, i] * LETTERS + rows[at, j]) * LETTERS + rows[at, k])
+            owner.append(at)
+            value.append(DECAY ** (k - i + 1) / size[at])
+        self.triples, column = np.unique(np.concatenate(found), return_inverse=True)
+        self.table = np.zeros((len(self.triples) + 1, len(spans)), np.float32)  # the last row is for other triples
+        np.add.at(self.table, (column, np.concatenate(owner)), np.concatenate(value).astype(np.float32))
+        self.at = np.full(LETTERS**3, len(self.triples), np.int32)
+        self.at[self.triples] = np.arange(len(self.triples))
+
+    def kernel(self, spans: list[str]) -> np.ndarray:
+        """K(spans, landmarks)."""
+        out = np.zeros((len(spans), self.table.shape[1]), np.float32)
+        order = sorted(range(len(spans)), key=lambda i: len(spans[i]))
+        for lo in range(0, len(order), 256):
+            part = order[lo : lo + 256]
+            rows = letters([spans[i] for i in part]).astype(np.int32)
+            size = np.sqrt(squares_of(rows))
+            sums = np.zeros((len(part), out.shape[1]), np.float32)
+            for i, j, k in _triples(rows.shape[1]):
+                sums += np.float32(DECAY ** (k - i + 1)) * self.table[self.at[(rows[:, i] * LETTERS + rows[:, j]) * LETTERS + rows[:, k]]]
+            out[part] = sums / np.where(size > 0, size, 1)[:, None]
+        return out
+
+    def folded(self, coefficients: np.ndarray) -> np.ndarray:
+        """One weight per triple for a combination of landmarks."""
+        out = np.zeros(LETTERS**3, np.float32)
+        out[self.triples] = self.table[:-1] @ coefficients.astype(np.float32)
+        return out
+
+
+@dataclass
+class Parts:
+    """What is known of each word: the margin of its worst window, sums and squares of its last
+    and first window, and the letters at its end and beginning."""
+
+    margin: np.ndarray
+    tail: np.ndarray
+    tail_squares: np.ndarray
+    head: np.ndarray
+    head_squares: np.ndarray
+    end: np.ndarray
+    start: np.ndarray
+
+    FIELDS = ("margin", "tail", "tail_squares", "head", "head_squares", "end", "start")
+
+    @classmethod
+    def none(cls) -> Parts:
+        return cls(np.zeros(0), *(np.zeros(0, np.float32) for _ in range(4)), *(np.zeros((0, REACH), np.uint8) for _ in range(2)))
+
+    def plus(self, more: Parts) -> Parts:
+        return Parts(*(np.concatenate([getattr(self, f), getattr(more, f)]) for f in self.FIELDS))
 
 
 @dataclass
@@ -125,39 +224,58 @@ class Model:
     slope: float = 1.0
     middle: float = 0.0
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """Of each word, by the worst of its windows."""
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            if len(w) <= WIDTH:
-                pieces.append(w)
-                owner.append(i)
-            else:
-                cuts = [w[k : k + WIDTH] for k in range(0, len(w) - WIDTH // 2, WIDTH // 2)]
-                pieces += cuts
-                owner += [i] * len(cuts)
-        out = np.full(len(words), -np.inf)
-        if not pieces:
-            return out
-        sizes = np.array([len(p) for p in pieces])
-        owner = np.array(owner)
+    def parts(self, words: list[str]) -> Parts:
+        n = len(words)
+        codes, offsets = spelt(words)
+        starts, ends = offsets[:-1], offsets[1:]
+        sizes = ends - starts
+        # windows of each word: the whole, or WIDTH letters every half WIDTH, the last one at its end
+        steps = np.where(sizes > WIDTH, -(-(sizes - WIDTH) // (WIDTH // 2)) + 1, 1)
+        owner = np.repeat(np.arange(n), steps)
+        first = np.cumsum(steps) - steps
+        lo = starts[owner] + (np.arange(len(owner)) - first[owner]) * (WIDTH // 2)
+        lo = np.minimum(lo, np.maximum(ends[owner] - WIDTH, starts[owner]))
+        hi = np.minimum(lo + WIDTH, ends[owner])
+        total, squares = np.zeros(len(owner), np.float32), np.zeros(len(owner), np.float32)
         edges = [0, 4, 6, 8, 10, 12, 16, 20, WIDTH]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # by width, so that short words cost little
-            pick = np.flatnonzero((sizes > lo) & (sizes <= hi))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):  # by width, so that short words cost little
+            pick = np.flatnonzero((hi - lo > low) & (hi - lo <= high))
             for a in range(0, len(pick), 65536):
                 part = pick[a : a + 65536]
-                rows = letters([pieces[i] for i in part])
-                size = sizes_of(rows)
-                margin = np.where(size > 0, project(rows, self.weights) / np.where(size > 0, size, 1), 0) + self.offset
-                np.maximum.at(out, owner[part], margin)
+                rows = _rows(codes, lo[part], hi[part])
+                total[part], squares[part] = project(rows, self.weights), squares_of(rows)
+        margin = np.full(n, -np.inf)
+        np.maximum.at(margin, owner, _ratio(total, squares) + self.offset)
+        last = first + steps - 1
+        padded = np.concatenate([np.zeros(REACH, np.uint8), codes, np.zeros(REACH, np.uint8)])
+        place = np.arange(REACH)
+        end = np.where(place >= REACH - sizes[:, None], padded[ends[:, None] + place], 0)
+        start = np.where(place < sizes[:, None], padded[starts[:, None] + REACH + place], 0)
+        return Parts(margin, total[last], squares[last], total[first], squares[first], end.astype(np.uint8), start.astype(np.uint8))
+
+    def pair_margins(self, parts: Parts, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Margins of the spans that words ``one`` and ``two`` (numbers in ``parts``) make, from the
+        words' own sums and the triples that cross the gap between them."""
+        out = np.empty(len(one))
+        for lo in range(0, len(one), 65536):
+            a, b = one[lo : lo + 65536], two[lo : lo + 65536]
+            rows = np.zeros((len(a), 2 * REACH + 1), np.uint8)
+            rows[:, :REACH], rows[:, REACH + 1 :] = parts.end[a], parts.start[b]
+            total = parts.tail[a] + parts.head[b] + project(rows, self.weights, CROSSING)
+            squares = parts.tail_squares[a] + parts.head_squares[b] + squares_of(rows, CROSSING)
+            out[lo : lo + 65536] = _ratio(total, squares) + self.offset
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(margin), 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.middle), -500, 500))), 0.0)
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0d]+")
-_SPELT = re.compile(r"(?<![^\x20\x09-\x0d])(?:[^\x20\x09-\x0d][\x20\x09-\x0d]){2,}[^\x20\x09-\x0d](?![^\x20\x09-\x0d])")
+def _ratio(total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return np.where(squares > 0, total / np.sqrt(np.where(squares > 0, squares, 1)), 0)
+
+
+_WORD = re.compile(r"[\u3000-\u9fff]|[^\x20\x09-\x0d\u3000-\u9fff]+")
+_SPELT = re.compile(r"(?<![^\x20\x09-\x0d])(?:[^\x20\x09-\x0d\u3000-\u9fff][\x20\x09-\x0d]){2,}[^\x20\x09-\x0d\u3000-\u9fff](?![^\x20\x09-\x0d])")
 _END = re.compile(r"(?<=[.!?|])[\x20\x09-\x0d]+|\n")
 
 
@@ -167,25 +285,15 @@ def sentences(text: str) -> list[list[str]]:
     return [w for w in (_WORD.findall(s) for s in _END.split(text)) if w]
 
 
-def _class_letters() -> str:
-    """For each letter class a character that has it."""
-    first = {int(k): chr(i) for i, k in reversed(list(enumerate(_LETTER))) if k}
-    return "".join(first.get(k, " ").lower() for k in range(LETTERS))
+_CLASS = np.array([""] + [chr(96 + k) for k in range(1, 27)] + [chr(_PRIVATE + k) for k in range(27, LETTERS)])
 
 
-def _folded(words: list[str]) -> list[str]:
-    """The letters of words, gaps dropped, at most WIDTH of them."""
-    names = _class_letters()
-    gap = str.maketrans("", "", " ")
-    cut = [w[:WIDTH] for w in words]
-    out: list[str] = []
-    for lo in range(0, len(cut), 8192):
-        rows = letters(cut[lo : lo + 8192])
-        flat = "".join(names[c] for c in range(LETTERS))
-        table = np.array(list(flat))
-        wide = table[rows]
-        out += ["".join(r).translate(gap) for r in wide.tolist()]
-    return out
+def folded(words: list[str]) -> list[str]:
+    """The letters of words, a character for each class, gaps dropped."""
+    codes, offsets = spelt(words)
+    kept = np.concatenate([[0], np.cumsum(codes > 0)])
+    flat = "".join(_CLASS[codes[codes > 0]].tolist())
+    return [flat[a:b] for a, b in zip(kept[offsets[:-1]].tolist(), kept[offsets[1:]].tolist(), strict=True)]
 
 
 def _surprise(a: int, n: int, b: int, m: int) -> float:
@@ -203,7 +311,9 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 120) -> n
     diagonal = (x * x).sum(axis=1) + 0.5 / cost
     order = np.random.Generator(np.random.PCG64(3))
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
+        # rows beyond the margin that carry no weight would not move
+        active = np.flatnonzero((alpha > 0) | (y * (x @ w) < 1))
+        for i in order.permutation(active):
             step = max(-alpha[i], (1 - y[i] * (x[i] @ w) - alpha[i] * 0.5 / cost[i]) / diagonal[i])
             if step:
                 alpha[i] += step
@@ -211,86 +321,162 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 120) -> n
     return w
 
 
+class _Spans:
+    """Training texts as numbers of words (folded) and of pairs of them, with the texts they are in."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
+        number: dict[str, int] = {}
+        split = [[[number.setdefault(w, len(number)) for w in s] for s in sentences(t)] for t in texts]
+        names = folded(list(number))
+        place = {w: i for i, w in enumerate(dict.fromkeys(names))}
+        move = np.array([place[w] for w in names], np.int64)
+        self.words = list(place)
+        self.texts = [[move[s] for s in ss] for ss in split]
+        n = max(1, len(self.words))
+        has = np.array([len(w) > 0 for w in self.words], bool)
+
+        def pairs(ss: list[np.ndarray]) -> np.ndarray:
+            two = [s[:-1] * n + s[1:] for s in ss if len(s) > 1]
+            found = np.concatenate(two) if two else np.zeros(0, np.int64)
+            return found[has[found // n] & has[found % n]]
+
+        per_word = [np.unique(np.concatenate(ss)) if ss else np.zeros(0, np.int64) for ss in self.texts]
+        per_pair = [np.unique(pairs(ss)) for ss in self.texts]
+        every = np.concatenate([np.zeros(0, np.int64), *per_pair])
+        self.pairs, number_of = np.unique(every, return_inverse=True)
+        cuts = np.cumsum([0, *map(len, per_pair)])
+        self.text_pairs = [number_of[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.text_words = per_word
+        self.word_in = [self._counts(per_word, toxic == k, n) for k in (0, 1)]
+        self.pair_in = [self._counts(self.text_pairs, toxic == k, len(self.pairs)) for k in (0, 1)]
+        self.first, self.second = self.pairs // n, self.pairs % n
+
+    @staticmethod
+    def _counts(per: list[np.ndarray], chosen: np.ndarray, n: int) -> np.ndarray:
+        some = [p for p, c in zip(per, chosen, strict=True) if c]
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=n)
+
+    def pair(self, i: int) -> str:
+        return f"{self.words[self.first[i]][-WIDTH:]} {self.words[self.second[i]][:WIDTH]}"
+
+
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 2) -> Model:
-    """From (text, toxic) rows; the same model whatever their order."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    """From (text, toxic) rows; the same model whatever their order. Equal texts count once."""
+    worst_of = Counter()
+    for text, y in rows:
+        worst_of[text] = max(worst_of[text], int(y > 0))
+    rows = sorted(worst_of.items(), key=lambda r: (r[1], r[0]))
     toxic = np.array([y for _, y in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return Model(None)
-    # texts as sentences of word numbers, so that the words are held once
-    number: dict[str, int] = {}
-    texts = [[array("i", [number.setdefault(w[:WIDTH], len(number)) for w in s]) for s in sentences(t)] for t, _ in rows]
-    names = _folded(list(number))
-    number.clear()
-    fold = {w: i for i, w in enumerate(dict.fromkeys(names))}
-    moved = np.array([fold[w] for w in names], np.int32)
-    texts = [[moved[np.frombuffer(s, np.int32)] for s in ss] for ss in texts]
-    words_of = list(fold)
-    seen = [Counter(), Counter()]
-    for ss, y in zip(texts, toxic, strict=True):
-        if ss:
-            seen[int(y)].update(words_of[i] for i in np.unique(np.concatenate(ss)).tolist() if len(words_of[i]) >= 3)
+    spans = _Spans([t for t, _ in rows], toxic)
     n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
-    # first guess at what makes a text toxic: words by the log-odds of documents they are in
-    odds = {w: np.log((c + 0.1) / n[1]) - np.log((seen[0][w] + 0.5) / n[0]) for w, c in seen[1].items() if c >= 2}
-    # words that are in toxic texts more often than chance explains among so many words
-    least = 2 * np.log(max(2, len(words_of))) + 4
-    gain = {w: _surprise(seen[1][w], n[1], seen[0][w], n[0]) for w in odds if odds[w] > 1}
-    bad = sorted((w for w in gain if gain[w] > least), key=lambda w: (-gain[w], w))[: landmarks // 3]
-    if not bad:
-        bad = sorted(odds, key=lambda w: (-odds[w], w))[:1] or [sorted(seen[1])[0]] if seen[1] else []
-    if not bad:
-        return Model(None)
-    clean_words = sorted(seen[0], key=lambda w: (-seen[0][w], w))
-    # clean words nearest to the bad ones are the hardest; common ones the most usual
-    fb = features(bad)
-    pool = clean_words[:30_000]
-    near = Model(fb.sum(axis=0)).margins(pool)
-    hard = [pool[i] for i in np.argsort(-near, kind="stable")[:1200]]
-    usual = clean_words[:600]
-    negatives = list(dict.fromkeys(hard + usual))
-    marks = list(dict.fromkeys(bad + hard[: landmarks // 4] + usual[: landmarks // 4]))
-    fm = features(marks)
-    value, vector = np.linalg.eigh((fm @ fm.T).astype(np.float64))
+
+    def significant(counts: list[np.ndarray], usable: np.ndarray, least: float) -> dict[int, float]:
+        """Spans that are in toxic texts more often than chance explains among so many spans."""
+        odds = np.log((counts[1] + 0.1) / n[1]) - np.log((counts[0] + 0.5) / n[0])
+        some = np.flatnonzero(usable & (counts[1] >= 2) & (odds > 1))
+        gain = {int(i): _surprise(int(counts[1][i]), n[1], int(counts[0][i]), n[0]) for i in some}
+        return {i: g for i, g in gain.items() if g > least}
+
+    letters_in = np.array([len(w) for w in spans.words])
+    bad = significant(spans.word_in, letters_in >= 3, 2 * np.log(max(2, len(spans.words))) + 4)
+    in_bad = np.isin(np.arange(len(spans.words)), list(bad))
+    pair_size = letters_in[spans.first] + letters_in[spans.second]
+    bad_pairs = significant(spans.pair_in, (pair_size >= 3) & ~in_bad[spans.first] & ~in_bad[spans.second], 2 * np.log(max(2, len(spans.pairs))) + 4)
+    named = lambda i: (spans.words[i], i)
+    in_clean = {p for i in np.flatnonzero((spans.word_in[0] > 0) & (letters_in > WIDTH)) for p in _windows(spans.words[i])}
+    # a long word is bad by windows that clean ones do not have
+    worst = sorted(bad, key=lambda i: (-bad[i], *named(i)))
+    positives = list(dict.fromkeys(p for i in worst for p in _windows(spans.words[i]) if letters_in[i] <= WIDTH or p not in in_clean))
+    phrases = sorted(bad_pairs, key=lambda i: (-bad_pairs[i], spans.pair(i)))
+    if not positives and not phrases:
+        odd = np.flatnonzero((letters_in >= 3) & (spans.word_in[1] > 0))
+        if not len(odd):
+            return Model(None)
+        # nothing stands out: the likeliest word, which the curve will weigh by what it is worth
+        positives = [spans.words[min(odd, key=lambda i: (spans.word_in[0][i] - spans.word_in[1][i], spans.words[i]))]]
+    said = [spans.pair(i) for i in phrases]
+    is_bad = set(positives) | set(said)
+    clean = [spans.words[i] for i in sorted(np.flatnonzero(spans.word_in[0] > 0), key=lambda i: (-spans.word_in[0][i], spans.words[i])) if letters_in[i] >= 3 and spans.words[i] not in is_bad]
+    pieces = list(dict.fromkeys(p for w in clean for p in _windows(w)))
+    usual = pieces[:USUAL]
+    # clean spans nearest to the bad ones are the hardest: by letters, and pairs that share a word
+    marks = Landmarks([*positives, *said][: landmarks // 2])
+    near = Model(marks.folded(np.ones(marks.table.shape[1]))).parts(pieces).margin
+    hard = [pieces[i] for i in np.lexsort((np.arange(len(pieces)), -near))[:HARD]]
+    halves = [w for i in phrases for w in (spans.words[spans.first[i]], spans.words[spans.second[i]]) if w not in is_bad]
+    hard_pairs = _sharing(spans, phrases, HARD)
+    clean_pairs = np.flatnonzero(spans.pair_in[0] > 0)
+    often = [spans.pair(i) for i in sorted(clean_pairs, key=lambda i: (-spans.pair_in[0][i], spans.pairs[i]))[: USUAL // 2]]
+    negatives = list(dict.fromkeys([*halves, *hard, *usual, *hard_pairs, *often]))
+    # the kernel sees inserted characters as gaps: let it learn where such words lie
+    spaced = [" ".join(w)[:WIDTH] for w in [*usual, *hard[:300], "abcdefghijkl", "lmnopqrstuv"] if w not in is_bad]
+    negatives = [w for w in dict.fromkeys([*negatives, *spaced]) if w not in is_bad]
+    gapped = [g for w in positives for g in (" ".join(w)[:WIDTH], w[: len(w) // 2] + " " + w[len(w) // 2 :])]
+    wanted = list(dict.fromkeys([*positives, *said, *gapped]))
+    some = list(dict.fromkeys([*said[: landmarks // 4], *positives[: landmarks // 3], *halves[: landmarks // 8], *hard_pairs[: landmarks // 8]]))
+    room = (landmarks - len(some)) // 2
+    marks = Landmarks(list(dict.fromkeys([*some, *hard[:room], *usual[:room]])))
+    value, vector = _spectrum(marks)
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
+    held = {p: float(spans.word_in[1][i]) for i in bad for p in _windows(spans.words[i])} | {spans.pair(i): float(spans.pair_in[1][i]) for i in phrases}
+    known: dict[str, np.ndarray] = {}
 
-    def nystroem(words: list[str]) -> np.ndarray:
-        k = np.concatenate([features(words[i : i + 64]) @ fm.T for i in range(0, len(words), 64)])
-        return np.column_stack([k @ root, np.ones(len(words))])
+    def nystroem(some: list[str]) -> np.ndarray:
+        fresh = [w for w in some if w not in known]
+        known.update(zip(fresh, marks.kernel(fresh) @ root, strict=True))
+        return np.column_stack([np.array([known[w] for w in some]), np.ones(len(some))])
 
-    witnesses = Counter()
-    score = np.array([odds.get(w, -9.0) for w in words_of])
     model = Model(None)
     for _ in range(rounds):
-        witnesses.clear()
-        for ss, y in zip(texts, toxic, strict=True):
-            if y and ss:
-                worst = max(ss, key=lambda s: score[s].max())  # the sentence that makes the text toxic
-                word = int(worst[np.argmax(score[worst])])
-                if score[word] > 0:
-                    witnesses[words_of[word]] += 1
-        positives = [w for w, c in witnesses.items() if gain.get(w, 0.0) > least]
-        positives = sorted(set(positives) | set(bad))
-        # the kernel sees inserted characters as gaps: let it learn where such words lie
-        gapped = [g for w in positives for g in (" ".join(w)[:WIDTH], w[: len(w) // 2] + " " + w[len(w) // 2 :])]
-        negatives = [w for w in negatives if w not in set(positives)]
-        negatives = list(dict.fromkeys(negatives + [" ".join(w)[:WIDTH] for w in [*usual, *hard[:300], "abcdefghijkl", "lmnopqrstuv"] if w not in set(positives)]))
-        words = positives + gapped + negatives
-        y = np.array([1.0] * (len(words) - len(negatives)) + [-1.0] * len(negatives))
-        cost = np.where(y > 0, COST * max(1.0, len(negatives) / max(1, len(words) - len(negatives))) ** 0.5, COST)
-        w = _svm(nystroem(words), y, cost)
-        weights = (root @ w[:-1]) @ fm
-        model = Model(weights.astype(np.float32), float(w[-1]))
-        score = model.margins(words_of)
-        worst_clean = sorted(((float(score[fold[v]]), v) for v in clean_words if score[fold[v]] > -0.9), key=lambda x: (-x[0], x[1]))[:800]
-        negatives = list(dict.fromkeys(negatives + [v for _, v in worst_clean]))
+        x = nystroem(wanted + negatives)
+        y = np.array([1.0] * len(wanted) + [-1.0] * len(negatives))
+        # a span stands for the texts that hold it
+        cost = COST * np.where(y > 0, max(1.0, len(negatives) / len(wanted)) ** 0.5, 1.0) * np.array([held.get(v, 1.0) for v in wanted + negatives]) ** 0.5
+        w = _svm(x, y, cost)
+        model = Model(marks.folded(root @ w[:-1]), float(w[-1]))
+        parts = model.parts(spans.words)
+        pair_score = model.pair_margins(parts, spans.first, spans.second)
+        score = np.where(letters_in >= 1, parts.margin, -np.inf)
+        found = [(float(score[i]), spans.words[i]) for i in np.flatnonzero((spans.word_in[0] > 0) & ~in_bad & (score > -0.9))]
+        found = [(s, p) for s, w in found for p in _windows(w)]
+        # a pair that is no worse than its words says nothing that they do not
+        some = np.flatnonzero((spans.pair_in[0] > 0) & (pair_score > np.maximum(-0.9, np.maximum(score[spans.first], score[spans.second]))) & ~in_bad[spans.first] & ~in_bad[spans.second])
+        found += [(float(pair_score[i]), spans.pair(i)) for i in some[np.argsort(-pair_score[some], kind="stable")[:WORST]]]
+        more = [v for _, v in sorted(found, key=lambda t: (-t[0], t[1]))[:WORST]]
+        negatives = [v for v in dict.fromkeys([*negatives, *more]) if v not in is_bad]
     # the logistic curve on whole texts
-    margin = np.array([max((float(score[s].max()) for s in ss), default=-2.0) for ss in texts])
+    margin = np.array([max(score[a].max(initial=-2.0), pair_score[b].max(initial=-2.0)) for a, b in zip(spans.text_words, spans.text_pairs, strict=True)])
     model.slope, model.middle = _logistic(margin, toxic)
     return model
 
 
+def _windows(word: str) -> list[str]:
+    return [word] if len(word) <= WIDTH else [word[max(0, min(k, len(word) - WIDTH)) :][:WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+
+
+def _spectrum(marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of K(landmarks)."""
+    table = marks.table[:-1].astype(np.float64)
+    return np.linalg.eigh(table.T @ table)
+
+
+def _sharing(spans: _Spans, phrases: list[int], most: int) -> list[str]:
+    """Clean pairs that share a word with a bad one, the most frequent first, some for each."""
+    out: list[str] = []
+    if phrases:
+        clean = np.flatnonzero((spans.pair_in[0] > 0) & ~np.isin(np.arange(len(spans.pairs)), phrases))
+        by = {k: clean[np.isin(v[clean], v[phrases])] for k, v in (("first", spans.first), ("second", spans.second))}
+        each = max(1, most // (2 * len(phrases)))
+        for i in phrases:
+            for k, v in (("first", spans.first), ("second", spans.second)):
+                own = by[k][v[by[k]] == v[i]]
+                out += [spans.pair(j) for j in own[np.lexsort((spans.pairs[own], -spans.pair_in[0][own]))[:each]]]
+    return out
+
+
 def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and middle by Newton steps on smoothed targets."""
     y = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
@@ -325,23 +511,23 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 
 class Scorer:
-    """Margins of texts; those of words seen before are looked up by hash."""
+    """Margins of texts; what is known of words seen before is looked up by hash."""
 
-    KEEP = 3_000_000
+    KEEP = 1_000_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.seen, self.margin = HashIndex(), np.zeros(0)
+        self.seen, self.parts = HashIndex(), Parts.none()
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, firsts = word_spans(data, offsets)
         out = np.full(len(offsets) - 1, -np.inf)
         if not len(starts):
             return out
-        starts, ends, firsts = _joined(data, starts, ends, firsts)
+        starts, ends, firsts = _joined(data, *_single_ideographs(data, starts, ends, firsts))
         keys = span_hashes(data, starts, ends)
         at = self.seen.find(keys)
         missing = np.flatnonzero(at < 0)
@@ -353,19 +539,41 @@ class Scorer:
             spots = missing[one]
             raw = data.tobytes()
             words = [raw[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
-            self.margin = np.concatenate([self.margin, self.model.margins(words)])
+            self.parts = self.parts.plus(self.model.parts(words))
             self.seen.add(fresh)
             at[missing] = self.seen.find(keys[missing])
-        counts = np.diff(firsts)
-        full = counts > 0
-        out[full] = np.maximum.reduceat(self.margin[at], firsts[:-1][full])
+        # word i and the next one are a span unless a text or a sentence ends between them
+        apart = np.zeros(len(starts), bool)
+        apart[firsts[1:][firsts[1:] > 0] - 1] = True
+        apart |= np.isin(data[ends - 1], (33, 46, 63, 124))
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        apart[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+        margin = self.parts.margin[at]
+        go = np.flatnonzero(~apart)
+        pairs, again = np.unique(at[go].astype(np.int64) << 32 | at[go + 1], return_inverse=True)
+        margin[go] = np.maximum(margin[go], self.model.pair_margins(self.parts, pairs >> 32, pairs & 0xFFFFFFFF)[again])
+        full = np.diff(firsts) > 0
+        out[full] = np.maximum.reduceat(margin, firsts[:-1][full])
         return out
 
 
+def _single_ideographs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut so that every character from U+3000 to U+9FFF is one of its own."""
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    if not len(lead):
+        return starts, ends, firsts
+    after = lead + 3
+    more = after[~np.isin(after, ends)]  # what follows in the same word
+    begins = np.unique(np.concatenate([starts, lead, more]))
+    stops = np.unique(np.concatenate([ends, lead[~np.isin(lead, starts)], after]))
+    bounds = np.append(starts, len(data))[firsts]
+    return begins, stops, np.searchsorted(begins, bounds)
+
+
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of three or more words of one character, one space apart, become one word."""
-    size = ends - starts
-    single = (size == 1) | ((size <= 4) & (data[starts] >= 0xC0) & (size == np.select([data[starts] >= 0xF0, data[starts] >= 0xE0], [4, 3], 2)))
+    size, lead = ends - starts, data[starts]
+    single = (size == 1) | ((size <= 4) & (lead >= 0xC0) & ((lead < 0xE3) | (lead > 0xE9)) & (size == np.select([lead >= 0xF0, lead >= 0xE0], [4, 3], 2)))
     link = np.zeros(len(starts), bool)  # link[i]: word i goes on from word i - 1
     link[1:] = single[1:] & single[:-1] & (starts[1:] == ends[:-1] + 1)
     link[firsts[:-1][firsts[:-1] < len(starts)]] = False
@@ -378,21 +586,21 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.n
     return starts[head], ends[tail], np.searchsorted(head, firsts)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, place: int) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model) if model.weights is not None else None
     for batch in batches:
-        for rows, data, offsets in chunks(batch, "text", 1 << 20):
+        for rows, data, offsets in chunks(batch, place, 1 << 20):
             p = model.probability(scorer.texts(data, offsets)) if scorer else np.zeros(rows.num_rows)
-            columns = [rows.column(i) for i in range(rows.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64())], names=[*rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p, pa.float64())], names=[*rows.schema.names, "score"])
 
 
 def add_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """``docs`` with one more column; a column of that name gives way."""
+    """``docs`` (text among its columns) with one more column, which must not be in it yet."""
     ship(docs.sparkSession)
-    plain = docs.drop(score) if score != "text" else docs
-    schema = plain.schema.simpleString()[len("struct<") : -1]
-    return plain.mapInArrow(lambda it: _scored(it, model), f"{schema},score:double" if schema else "score:double").withColumnRenamed("score", score)
+    place = [c.lower() for c in docs.columns].index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    names = schema.names
+    return docs.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(b.columns, names=names) for b in _scored(it, model, place)), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -405,5 +613,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the limit, with their own columns."""
     model = train(training_rows(docs, labels))
-    name = "__toxicity"
-    return add_scores(docs, model, name).where(F.col(name) < limit).drop(name)
+    name = unused(docs, "__toxicity")
+    return add_scores(docs, model, name).where(F.col(name) < limit).select(*[column(c) for c in docs.columns])
