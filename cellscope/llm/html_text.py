@@ -79,6 +79,9 @@ PAGES = (
     "<article +><p>18</p><aside - class=promo>15</aside><p>200</p><div - class=share>@1 @1 @1</div><div - role=alert>11</div><p>5</p><ul - ><li>@3<li>@4<li>@2<li>@5</ul></article>",
     "<div>9</div><article +><h1>4</h1><p>50</p><h2>3</h2><p>8</p><p>16</p></article><div>$10</div><div>40</div><div>@1 @2</div>",
     "<nav>@1 @2</nav><article +><h1>6</h1><p>40</p><p>$2</p><p>$6</p><p>22</p><p>$1</p></article><footer>$4</footer>", "<main +><p>30</p><p>$3</p><p>$9</p><p>15</p><p>@1</p><p>$18</p></main><div>$9</div>",
+    "<nav>@1</nav><article +><h1>5</h1><p>20</p><p>$4</p><p>1</p><p>60</p><p>$12</p><p>2</p><p>$30</p><p>3</p><p>$2</p><p>1</p></article><footer>$3</footer>",
+    "<article +><p>9</p><p>3</p><p>3</p><p>14</p><p>2</p><p>2</p></article><div>1</div>", "<article +><p>$20</p></article><div>$5</div>", "<article +><h1>3</h1></article>", "<article +><p>$40</p><p>$15</p><p>2</p></article><footer>9</footer>",
+    "<main +><p>2</p><p>7</p><p>90</p><p>1</p><p>5</p><p>3</p><p>16</p><p>3</p><p>70</p><p>$5</p></main><footer>$5</footer>", "<article +><p>45</p><p>$70</p><p>1</p><p>$9</p><p>8</p></article><p>6</p>",
     # containers that name the article in their class or id
     "<div class=menu>@1 @2 @1</div><div id=main class=no-comments +><h1>8</h1><p>42</p><p>6</p><p>70</p></div><div class=site-footer>$9</div>",
     "<div class='post has-sidebar' +><h1>6</h1><p>33</p><p>12</p><p>64</p></div><div class=sidebar-left><p>28</p><p>@3</p></div><div id=footer>7</div>",
@@ -93,6 +96,7 @@ PAGES = (
     "<div>1</div><div>2</div><div>1</div><h1 +>7</h1><p +>52</p><p +>3</p><p +>47</p><div>2</div><div>3</div><div>2</div>",
     "<table><tr><td>2<td>1<td>2<td>1</table><div +><p>61</p><p>30</p></div><div>3</div><div>1</div><div>2</div>",
     "<div>2</div><div>4</div><div>3</div><div +><h2>5</h2><p>24</p><p>6</p><p>83</p></div><ul><li>2<li>3<li>1</ul>",
+    "<div>@1 @2</div><div>$7</div><div +><h1>4</h1><p>44</p><p>31</p><p>4</p><p>57</p></div><div>$5</div>", "<div>$5</div><div +><p>39</p><p>27</p></div><div>$13</div>", "<p>$3</p><div +><h1>6</h1><p>50</p></div>",
     "<p +>3</p>", "<h1 +>5</h1><p +>14</p>", "<p +>40</p><p>$9</p>", "<div +>120</div>", "<p +>1</p>", "<p +>12</p><p +>9</p>", "<h2 +>4</h2><p +>22</p><p>@6</p>",
     # furniture names around most of the page, and around the little that is beside it
     "<div class=menu>@1 @1</div><div class=widget +><h1>6</h1><p>50</p><p>33</p><p>72</p><p>24</p></div><div class=footer>$9</div>",
