@@ -2,8 +2,10 @@
 
 1. Identical vectors of a label collapse to one class with a multiplicity, so copies cost nothing.
 2. Unit vectors are projected on many random directions. Tables of a few quantised projections
-   deal the classes of a label into cells; two vectors at the threshold share a cell of some table
-   with a probability near 1.
+   deal the classes of a label into cells. The number of projections grows with the logarithm of
+   the label's classes, so that unlike vectors share a cell about once whatever the label's size;
+   the number of tables grows with it, slowly, so that two vectors at the threshold share a cell
+   of some table but for probability LOST.
 3. In a cell, the projections are sorted one by one and collisions inside a window centred on each
    vector are counted for every pair; a pair whose count reaches a level is verified by its cosine
    in double precision. The level is calibrated so that a pair at the threshold falls short of it
@@ -12,8 +14,8 @@
    than BLOCK is cut into sub-blocks that meet two at a time; tasks emit link counts and the links
    of a spanning forest, never lists of pairs.
 
-Recall of a pair exactly at cosine 0.98 is (1 - MISS) * (1 - (1 - p)^TABLES), p the chance to
-share a cell: above 0.999; nearer pairs are safer.
+Recall of a pair exactly at cosine 0.98 is (1 - MISS) * (1 - LOST), above 0.9999 by design; nearer
+pairs are safer.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with
 a null label or null id, link with nothing; vectors of unequal length never link; rows with one id
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,17 @@ from cellscope.llm.shared import ship, spool
 from cellscope.llm.textarrays import mix
 
 COSINE = 0.98
-TABLES, WIDTHS, CELL = 16, 4, 1.25
+CELL, LOST = 2.0, 1e-6
+#: Unlike vectors that share a cell with a vector, in the mean.
+STRANGERS = 2.0
 DIRECTIONS, WINDOW, MISS = 48, 0.3, 1e-5
 BLOCK = 1024
+#: Rows that a task holds before it works them off, and the largest cell whose pairs are counted directly.
+HELD, SMALL = 4096, 48
 SEED = 11
 
 
+@lru_cache(maxsize=16)
 def directions(dim: int, n: int, seed: int = SEED) -> np.ndarray:
     """Gaussian directions, one a column; the same wherever they are drawn."""
     return np.random.Generator(np.random.PCG64([seed, dim, n])).standard_normal((dim, n))
@@ -60,7 +68,24 @@ def count_level(cosine: float = COSINE, n: int = DIRECTIONS, window: float = WIN
     return n
 
 
-def cell_keys(unit: np.ndarray, tables: int = TABLES, widths: int = WIDTHS, cell: float = CELL) -> np.ndarray:
+def same_cell(distance: float, cell: float = CELL) -> float:
+    """The chance that one quantised projection puts two vectors of that distance into one cell."""
+    r = cell / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def widths_for(n: int, cosine: float = COSINE, strangers: float = STRANGERS) -> int:
+    """Projections of a table for a label of n classes: unrelated vectors are at a distance of about
+    the root of two."""
+    return max(2, math.ceil(math.log(max(1.0, n / strangers)) / -math.log(same_cell(math.sqrt(2)))))
+
+
+def tables_for(widths: int, cosine: float = COSINE, lost: float = LOST) -> int:
+    """Tables after which a pair at the threshold has met but for probability ``lost``."""
+    return math.ceil(math.log(lost) / math.log1p(-(same_cell(math.sqrt(2 - 2 * cosine)) ** widths)))
+
+
+def cell_keys(unit: np.ndarray, widths: int, tables: int, cell: float = CELL) -> np.ndarray:
     """The cell of each vector in each table as a 64-bit number."""
     dim = unit.shape[1]
     rng = np.random.Generator(np.random.PCG64([SEED, dim, tables, widths]))
@@ -92,17 +117,18 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], names=["vec_id", "label", "vector"])
 
 
-def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, cells) of classes, by dimension."""
+def _celled(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """(id, cells) of classes (id, widths, vector), by dimension and widths."""
     for batch in batches:
-        ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        sizes = np.array([len(r) for r in raw])
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
+        ids, widths, raw = (c.to_pylist() for c in batch.columns)
+        kinds = np.array([(len(r), w) for r, w in zip(raw, widths, strict=True)], np.int64).reshape(-1, 2)
+        for size, width in np.unique(kinds, axis=0).tolist():
+            at = np.flatnonzero((kinds == (size, width)).all(axis=1))
+            tables = tables_for(width, cosine)
             for lo in range(0, len(at), 4096):
                 part = at[lo : lo + 4096]
-                keys = cell_keys(_units([raw[i] for i in part]))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * TABLES), pa.array(keys.reshape(-1).view(np.int64)))
+                keys = cell_keys(_units([raw[i] for i in part]), width, tables)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part], pa.int64()), listed], names=["id", "cells"])
 
 
@@ -127,69 +153,112 @@ def collisions(mine: np.ndarray, theirs: np.ndarray, window: float) -> np.ndarra
     return counts
 
 
-def block_links(table: int, side: np.ndarray, ids: np.ndarray, copies: np.ndarray, cells: np.ndarray, unit: np.ndarray, cosine: float, level: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Multiplicities linked to each row within one block pair, and links of a spanning forest."""
-    a = np.flatnonzero((side == 0) | (side == 2))
-    b = np.flatnonzero((side == 1) | (side == 2))
-    linked = np.zeros(len(ids), np.int64)
-    parent = np.arange(len(ids))
+class _Forest:
+    """Links that tie what was apart, as pairs of ids."""
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.parent, self.links = ids, np.arange(len(ids)), []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    links = []
-    sketch = unit @ directions(unit.shape[1], DIRECTIONS)
+    def tie(self, i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.parent[y] = x
+                self.links.append((int(self.ids[x]), int(self.ids[y])))
+
+
+def small_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside groups of rows, given the bounds of the groups."""
+    sizes, one, two = np.diff(bounds), [], []
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        at = bounds[:-1][sizes == m][:, None]
+        i, j = np.triu_indices(m, 1)
+        one.append((at + i).ravel())
+        two.append((at + j).ravel())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *two])
+
+
+def block_pairs(side: np.ndarray, sketch: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large block whose collisions reach the level, 256 rows at a time."""
+    a = np.flatnonzero((side == 0) | (side == 2))
+    b = np.flatnonzero((side == 1) | (side == 2))
     for lo in range(0, len(a), 256):
         mine = a[lo : lo + 256]
-        hits = collisions(sketch[mine], sketch[b], WINDOW) >= level
-        i, j = np.nonzero(hits)
+        i, j = np.nonzero(collisions(sketch[mine], sketch[b], WINDOW) >= level)
         i, j = mine[i], b[j]
-        keep = (i != j) & ((side[i] != 2) | (ids[i] < ids[j]))
+        keep = (side[i] != 2) | (i < j)
+        yield i[keep], j[keep]
+
+
+def _linked(groups: np.ndarray, table: np.ndarray, side: np.ndarray, ids: np.ndarray, copies: np.ndarray, cells: np.ndarray, unit: np.ndarray, cosine: float, level: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Multiplicities linked to each row within its group, and links of a spanning forest.
+
+    Rows of a group are neighbours. Small groups are counted together, pair by pair; a large one
+    by sorted projections. Either way a pair's collisions are the projections in which one lies
+    in the window centred on the other."""
+    linked = np.zeros(len(ids), np.int64)
+    forest = _Forest(ids)
+    sketch = unit @ directions(unit.shape[1], DIRECTIONS)
+
+    def verify(i: np.ndarray, j: np.ndarray) -> None:
+        # a pair counts where it met first
+        before = np.arange(cells.shape[1]) < table[i][:, None]
+        keep = ~((cells[i] == cells[j]) & before).any(axis=1)
         i, j = i[keep], j[keep]
-        if table:  # counted where they met first
-            keep = ~(cells[i, :table] == cells[j, :table]).any(axis=1)
-            i, j = i[keep], j[keep]
         keep = (unit[i] * unit[j]).sum(axis=1) >= cosine
         i, j = i[keep], j[keep]
         np.add.at(linked, i, copies[j])
         np.add.at(linked, j, copies[i])
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[y] = x
-                links.append((int(ids[x]), int(ids[y])))
-    return linked, links
+        forest.tie(i, j)
+
+    bounds = np.concatenate([np.flatnonzero(np.diff(groups, prepend=groups[0] - 1)), [len(groups)]])
+    large = (np.diff(bounds) > SMALL) | (side[bounds[:-1]] != 2)
+    keep = np.repeat(~large, np.diff(bounds))
+    at = np.flatnonzero(keep)
+    inner = np.concatenate([[0], np.cumsum(np.diff(bounds)[~large])])
+    i, j = small_pairs(inner)
+    for lo in range(0, len(i), 65536):
+        x, y = at[i[lo : lo + 65536]], at[j[lo : lo + 65536]]
+        hit = (np.abs(sketch[x] - sketch[y]) <= WINDOW).sum(axis=1) >= level
+        verify(x[hit], y[hit])
+    for k in np.flatnonzero(large).tolist():
+        a, b = bounds[k], bounds[k + 1]
+        for x, y in block_pairs(side[a:b], sketch[a:b], level):
+            verify(a + x, a + y)
+    return linked, forest.links
 
 
 def _counted(batches: Iterator[pa.RecordBatch], cosine: float, level: int) -> Iterator[pa.RecordBatch]:
     """Rows (table, cell, lo, hi, side, id, copies, cells, vector) by block pair; out come (a, b, n):
     n links of a where b is null, else a link."""
-    now, held = None, []
+    now, group, held = None, 0, []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for size in sorted({len(r[4]) for r in held}):
-            rows = [r for r in held if len(r[4]) == size]
-            if len(rows) < 2:
-                continue
-            ids = np.array([r[1] for r in rows], np.int64)
-            linked, links = block_links(
-                now[0], np.array([r[0] for r in rows]), ids, np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64).reshape(len(rows), -1), _units([r[4] for r in rows]), cosine, level
-            )
+        for shape in sorted({(len(r[6]), len(r[5])) for r in held}):
+            rows = [r for r in held if (len(r[6]), len(r[5])) == shape]
+            groups, table, side, ids, copies = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+            linked, links = _linked(groups, table, side, ids, copies, np.array([r[5] for r in rows], np.int64), _units([r[6] for r in rows]), cosine, level)
             some = np.flatnonzero(linked)
             a = [*ids[some].tolist(), *(x for x, _ in links)]
             b = [*([None] * len(some)), *(y for _, y in links)]
             n = [*linked[some].tolist(), *([0] * len(links))]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+        held.clear()
 
     for batch in batches:
         for table, cell, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != (table, cell, lo, hi):
-                yield from flush()
-                now, held = (table, cell, lo, hi), []
-            held.append(tuple(row))
+                if len(held) >= HELD:
+                    yield from flush()
+                now, group = (table, cell, lo, hi), group + 1
+            held.append((group, table, *row))
     yield from flush()
 
 
@@ -205,9 +274,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # a class is named by the least id of its copies; one id with several vectors names its first class only
     classes = able.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = spool(classes.withColumn("id", F.xxhash64("label", "vector")), "classes")
-    celled = spool(classes.select("id", "vector").mapInArrow(_celled, "id long, cells array<long>"), "cells")
+    # one row a label and length; borders of n at which a projection more is taken
+    counts_by = classes.groupBy("label", F.length("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    borders, widths = [], 2
+    while 2**40 > (border := math.floor(STRANGERS * same_cell(math.sqrt(2)) ** -widths)):
+        borders.append(border)
+        widths += 1
+    counts_by = counts_by.select(F.col("label").alias("l"), "size", (2 + F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: F.col("n") > b))).alias("widths"))
+    sized = classes.join(counts_by, (F.col("label") == F.col("l")) & (F.length("vector") == F.col("size"))).select("id", "widths", "vector")
+    celled = spool(sized.mapInArrow(lambda it: _celled(it, cosine), "id long, cells array<long>"), "cells")
     spots = celled.join(classes.select("id", "label"), "id").select("id", "label", F.posexplode("cells").alias("table", "cell")).withColumn("cell", F.xxhash64("label", "cell")).drop("label")
-    sizes = spots.groupBy("table", "cell").agg(F.count("*").alias("m")).where("m > 1").select("table", "cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    sizes = spots.groupBy("table", "cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("table", "cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     dealt = spots.join(sizes, ["table", "cell"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1))
     dealt = dealt.select("table", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "id")
