@@ -27,7 +27,7 @@ def _rule_case(what) -> str:
 
 
 def _strength(table: str, name: str) -> str:
-    return f"""{name}0 AS (SELECT CAST(sum(n) AS DOUBLE) AS N, CAST(sum(bad) AS DOUBLE) AS X, CAST(count(*) AS DOUBLE) AS M, CAST(sum(n*n) AS DOUBLE) AS N2, sum(bad*bad/CAST(n AS DOUBLE)) AS X2 FROM {table}),
+    return f"""{name}0 AS (SELECT CAST(sum(n) AS DOUBLE) AS N, CAST(sum(bad) AS DOUBLE) AS X, CAST(count(*) AS DOUBLE) AS M, CAST(sum(n*n) AS DOUBLE) AS N2, sum(bad*bad/CAST(n AS DOUBLE)) AS X2 FROM {table} WHERE n > 0),
 {name}1 AS (SELECT *, coalesce(X/nullif(N, 0), 0) AS mu FROM {name}0), {name}2 AS (SELECT *, ((X2 - N*mu*mu)/nullif(mu*(1-mu), 0) - (M-1))/nullif(N - N2/nullif(N, 0) - (M-1), 0) AS rho FROM {name}1),
 {name} AS (SELECT mu, coalesce(CASE WHEN rho > 0 THEN least(1000, greatest(1, 1/rho - 1)) ELSE 1000 END, 1000) AS k FROM {name}2)"""
 
@@ -36,7 +36,9 @@ URLS = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr
 h AS (SELECT page_id, rest, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host FROM u),
 x AS (SELECT page_id, host, regexp_extract(substr(coalesce(rest, ''), length(host) + 1), '^[^?#]*') AS path FROM h),
 mk AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
-o AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS bad FROM (SELECT DISTINCT page_id, host FROM x) JOIN mk USING (page_id) GROUP BY host),
+oh AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT DISTINCT page_id, host FROM x) LEFT JOIN mk USING (page_id) GROUP BY host),
+op AS (SELECT *, regexp_matches(name, '^[0-9.]+$') AS num, array_to_string(string_split(name, '.')[-2:], '.') AS two FROM oh),
+o AS (SELECT host, n, bad, CASE WHEN num THEN name WHEN two IN {url_filter.SUFFIXES!r} THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain, CASE WHEN num THEN name WHEN two IN {url_filter.SUFFIXES!r} THEN two ELSE string_split(name, '.')[-1] END AS suffix FROM op),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM o GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 {_strength('s', 'ks')}, {_strength('d', 'kd')}, {_strength('o', 'kh')},
 ms AS (SELECT suffix, (bad + k*mu)/(n + k) AS m FROM s, ks), md AS (SELECT domain, (bad + k*ms.m)/(n + k) AS m FROM d JOIN ms USING (suffix), kd),
