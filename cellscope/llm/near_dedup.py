@@ -33,8 +33,8 @@ from cellscope.llm.textarrays import chunks, distinct_sets, mix, shingle_hashes,
 WORDS = 5
 SIMILAR = (75, 100)
 SLOTS, BANDS = 128, 32
-#: Members that one verification stream or block holds together.
-STREAM, BLOCK = 512, 256
+#: Members of one verification stream, and members and bytes of sets that one block holds together.
+STREAM, BLOCK, BLOCK_BYTES = 128, 256, 1 << 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -211,16 +211,16 @@ def _leader_links(first: DataFrame, sets: DataFrame, similar: tuple[int, int]) -
 def _open_links(bucketed: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Links across components inside buckets that the leaders have not closed."""
     comp = connected_components(found)
-    at = bucketed.join(comp, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("comp"))
+    at = bucketed.join(comp, "id", "left").select("key", "id", "leader", "n_shingles", F.coalesce("component", "id").alias("comp"))
     at = spool(at, "members")
     keys = at.groupBy("key").agg(
         F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("low_id"), F.max("id").alias("high_id"),
-        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"), F.sum("n_shingles").alias("size"),
     ).where("lo <> hi")
     # buckets of the same members are one; a pair that was held against each other already is done
-    keys = keys.groupBy("n", "ids", "low_id", "high_id").agg(F.min("key").alias("key"))
+    keys = keys.groupBy("n", "ids", "low_id", "high_id").agg(F.min("key").alias("key"), F.max("size").alias("size"))
     tested = first.select(F.col("leader").alias("low_id"), F.col("id").alias("high_id"), F.lit(True).alias("tested"))
-    keys = keys.join(tested, ["low_id", "high_id"], "left").where("n > 2 OR tested IS NULL").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    keys = keys.join(tested, ["low_id", "high_id"], "left").where("n > 2 OR tested IS NULL").select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(8 * F.col("size") / BLOCK_BYTES))).cast("int").alias("parts"))
     rows = at.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: tuple[int, int
     feats = spool(features(docs, words, slots, bands), "features")
     full = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = spool(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("id", F.explode("bands").alias("key"))
+    members = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
     bucketed = spool(members.join(buckets, "key").distinct(), "buckets")
     sets = spool(shingle_sets(docs.join(bucketed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), words), "sets")
