@@ -7,6 +7,11 @@
 3. Rests that no combination takes are laid end to end, longest first, and cut at window ends, so
    only the last sequence has padding.
 
+Sequences are numbered through a permutation (a step of about the golden section of their number,
+coprime to it), so windows of one document and sequences of one combination lie apart and reading
+by number is not reading by document or length. The last sequence of the line, the only one with
+padding, is where the permutation puts it.
+
 The histogram has one bin for each length, whatever the corpus; rests find their place from their
 length and their rank among rests of that length, which are computed by counts of (part, length)
 and never by sorting the corpus in one place.
@@ -21,6 +26,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -425,8 +431,17 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[dict[int, list[tu
     return runs, left, line, line + -(-position // window)
 
 
-def _placed(batches: Iterator[pa.RecordBatch], planned: tuple, window: int) -> Iterator[pa.RecordBatch]:
+def stride(n: int) -> int:
+    """A step coprime to n, near its golden section: k * stride(n) % n permutes 0..n-1."""
+    step = max(1, round(n * 0.6180339887498949))
+    while math.gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def _placed(batches: Iterator[pa.RecordBatch], planned: tuple, window: int, sequences: int) -> Iterator[pa.RecordBatch]:
     runs, left, line, total = planned
+    step = stride(sequences) if sequences else 1
     starts = {k: np.array([r[0] for r in v]) for k, v in runs.items()}
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     for batch in batches:
@@ -452,6 +467,7 @@ def _placed(batches: Iterator[pa.RecordBatch], planned: tuple, window: int) -> I
             else:
                 lo, _, sequence, offset = runs[rest][int(np.searchsorted(starts[rest], rank, "right")) - 1]
                 put(doc, begin, rest, zlib.crc32(ids.tobytes()), tokens, sequence + rank - lo, offset)
+        out[5] = [k * step % sequences for k in out[5]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
 
@@ -469,10 +485,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = np.zeros(window + 1, np.int64)
-    for rest, n in counts.where("rest > 0").groupBy("rest").agg(F.sum("n")).collect():  # at most one row for each length
-        histogram[rest] = n
+    windows = 0
+    for rest, n in counts.groupBy("rest").agg(F.sum("n")).collect():  # at most one row for each length
+        if rest:
+            histogram[rest] = n
+        else:
+            windows = n
     planned = plan(histogram, window)
+    sequences = planned[3] + windows
     fulls = bases.where("rest = 0").select("part", F.col("base").alias("full_base"))
     placed = rows.join(fulls, "part").join(bases.select("part", "rest", F.col("base").alias("rest_base")), ["part", "rest"], "left")
     placed = placed.select("doc_id", "tokens", "full_rank", "full_crc", "rest", "rest_rank", "rest_ids", "full_base", F.coalesce("rest_base", F.lit(0)).alias("rest_base"))
-    return placed.mapInArrow(lambda it: _placed(it, planned, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(lambda it: _placed(it, planned, window, sequences), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
