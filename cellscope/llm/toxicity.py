@@ -50,6 +50,8 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 LANDMARKS, USUAL, HARD, WORST = 256, 600, 1200, 800
 DECAY, SPAN = 0.6, 7
 COST = 20.0
+#: How fast a text that has witnesses stops asking for more.
+DISCOUNT = 0.3
 #: A longer word is read in windows of this many letters, half overlapping.
 WIDTH = 24
 #: Letters of a word that a triple crossing into its neighbour can hold.
@@ -296,10 +298,10 @@ def folded(words: list[str]) -> list[str]:
     return [flat[a:b] for a, b in zip(kept[offsets[:-1]].tolist(), kept[offsets[1:]].tolist(), strict=True)]
 
 
-def _surprise(a: int, n: int, b: int, m: int) -> float:
+def _surprise(a: float, n: int, b: float, m: int) -> float:
     """Twice the log-likelihood ratio of a in n and b in m texts against one common share."""
 
-    def part(k: int, of: int, share: float) -> float:
+    def part(k: float, of: int, share: float) -> float:
         return (k * np.log(share) if k else 0.0) + ((of - k) * np.log1p(-share) if of > k else 0.0)
 
     return float(2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, (a + b) / (n + m)) - part(b, m, (a + b) / (n + m))))
@@ -384,6 +386,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
     in_bad = np.isin(np.arange(len(spans.words)), list(bad))
     pair_size = letters_in[spans.first] + letters_in[spans.second]
     bad_pairs = significant(spans.pair_in, (pair_size >= 3) & ~in_bad[spans.first] & ~in_bad[spans.second], 2 * np.log(max(2, len(spans.pairs))) + 4)
+    bad, bad_pairs = _witnesses(spans, toxic, bad, bad_pairs, n)
     named = lambda i: (spans.words[i], i)
     in_clean = {p for i in np.flatnonzero((spans.word_in[0] > 0) & (letters_in > WIDTH)) for p in _windows(spans.words[i])}
     # a long word is bad by windows that clean ones do not have
@@ -453,6 +456,37 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
     return model
 
 
+def _witnesses(spans: _Spans, toxic: np.ndarray, bad: dict[int, float], bad_pairs: dict[int, float], n: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Of the significant words and pairs those that explain the toxic texts.
+
+    The most significant is taken first; each text counts for less the more of the taken ones it
+    holds, and it ends when none is significant any more. So a word that only goes along with the
+    real ones, as in copies of one toxic text, is not a witness."""
+    words, pairs = sorted(bad, key=lambda i: spans.words[i]), sorted(bad_pairs, key=lambda i: spans.pairs[i])
+    if not words and not pairs:
+        return {}, {}
+    at = np.flatnonzero(toxic)
+    has = np.zeros((len(at), len(words) + len(pairs)), np.float32)
+    for row, t in enumerate(at):
+        has[row, : len(words)] = np.isin(words, spans.text_words[t])
+        has[row, len(words) :] = np.isin(pairs, spans.text_pairs[t])
+    clean = np.concatenate([spans.word_in[0][words], spans.pair_in[0][pairs]])
+    least = np.repeat([2 * np.log(max(2, len(spans.words))) + 4, 2 * np.log(max(2, len(spans.pairs))) + 4], [len(words), len(pairs)])
+    taken, times, out = np.zeros(has.shape[1], bool), np.zeros(len(at)), [{}, {}]
+    while True:
+        held = (1 / (1 + DISCOUNT * times)) @ has
+        gain = np.where(taken, -np.inf, [_surprise(float(a), n[1], float(b), n[0]) if a / n[1] > b / n[0] else 0.0 for a, b in zip(held, clean, strict=True)]) - least
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            return out[0], out[1]
+        taken[best] = True
+        times += has[:, best]
+        if best < len(words):
+            out[0][words[best]] = float(gain[best] + least[best])
+        else:
+            out[1][pairs[best - len(words)]] = float(gain[best] + least[best])
+
+
 def _windows(word: str) -> list[str]:
     return [word] if len(word) <= WIDTH else [word[max(0, min(k, len(word) - WIDTH)) :][:WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
