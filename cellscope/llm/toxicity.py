@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellscope.llm.near_dedup import WORDS, _sets, band_keys, super_minhash
 from cellscope.llm.packing import HashIndex
 from cellscope.llm.shared import column, ship, unused
 from cellscope.llm.textarrays import chunks, span_hashes, word_spans
@@ -323,6 +324,31 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 120) -> n
     return w
 
 
+def _one_of_near_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows without those that share a band of signatures and three quarters of the shingles
+    with an earlier row of the same label (a bounded sample, in memory)."""
+    coded = [t.encode() for t, _ in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    leaders: dict[tuple[int, int], int] = {}
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for lo in range(0, len(rows), 256):
+        part = coded[lo : lo + 256]
+        found = _sets(np.frombuffer(b"".join(part), np.uint8), offsets[lo : lo + len(part) + 1] - offsets[lo], WORDS)
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+        keys = band_keys(super_minhash(np.concatenate(found) if found else np.zeros(0, np.uint64), bounds)).tolist()
+        for i, (own, bands) in enumerate(zip(found, keys, strict=True)):
+            y = rows[lo + i][1]
+            near = {leaders[y, k] for k in bands if (y, k) in leaders} if len(own) else set()
+            if any(4 * len(np.intersect1d(sets[j], own, assume_unique=True)) >= 3 * len(np.union1d(sets[j], own)) for j in near):
+                continue
+            sets[lo + i] = own
+            for k in bands:
+                leaders.setdefault((y, k), lo + i)
+            out.append(rows[lo + i])
+    return out
+
+
 class _Spans:
     """Training texts as numbers of words (folded) and of pairs of them, with the texts they are in."""
 
@@ -363,11 +389,12 @@ class _Spans:
 
 
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 2) -> Model:
-    """From (text, toxic) rows; the same model whatever their order. Equal texts count once."""
+    """From (text, toxic) rows; the same model whatever their order. Equal texts and near copies
+    of one label count once."""
     worst_of = Counter()
     for text, y in rows:
         worst_of[text] = max(worst_of[text], int(y > 0))
-    rows = sorted(worst_of.items(), key=lambda r: (r[1], r[0]))
+    rows = _one_of_near_copies(sorted(worst_of.items(), key=lambda r: (r[1], r[0])))
     toxic = np.array([y for _, y in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return Model(None)
@@ -385,7 +412,9 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
     bad = significant(spans.word_in, letters_in >= 3, 2 * np.log(max(2, len(spans.words))) + 4)
     in_bad = np.isin(np.arange(len(spans.words)), list(bad))
     pair_size = letters_in[spans.first] + letters_in[spans.second]
-    bad_pairs = significant(spans.pair_in, (pair_size >= 3) & ~in_bad[spans.first] & ~in_bad[spans.second], 2 * np.log(max(2, len(spans.pairs))) + 4)
+    bad_pairs = significant(spans.pair_in, pair_size >= 3, 2 * np.log(max(2, len(spans.pairs))) + 4)
+    # a pair must say more than its words
+    bad_pairs = {i: g for i, g in bad_pairs.items() if g > max(bad.get(int(spans.first[i]), 0.0), bad.get(int(spans.second[i]), 0.0))}
     bad, bad_pairs = _witnesses(spans, toxic, bad, bad_pairs, n)
     named = lambda i: (spans.words[i], i)
     in_clean = {p for i in np.flatnonzero((spans.word_in[0] > 0) & (letters_in > WIDTH)) for p in _windows(spans.words[i])}
@@ -472,6 +501,7 @@ def _witnesses(spans: _Spans, toxic: np.ndarray, bad: dict[int, float], bad_pair
         has[row, len(words) :] = np.isin(pairs, spans.text_pairs[t])
     clean = np.concatenate([spans.word_in[0][words], spans.pair_in[0][pairs]])
     least = np.repeat([2 * np.log(max(2, len(spans.words))) + 4, 2 * np.log(max(2, len(spans.pairs))) + 4], [len(words), len(pairs)])
+    place = {w: k for k, w in enumerate(words)}
     taken, times, out = np.zeros(has.shape[1], bool), np.zeros(len(at)), [{}, {}]
     while True:
         held = (1 / (1 + DISCOUNT * times)) @ has
@@ -484,7 +514,10 @@ def _witnesses(spans: _Spans, toxic: np.ndarray, bad: dict[int, float], bad_pair
         if best < len(words):
             out[0][words[best]] = float(gain[best] + least[best])
         else:
-            out[1][pairs[best - len(words)]] = float(gain[best] + least[best])
+            pair = pairs[best - len(words)]
+            out[1][pair] = float(gain[best] + least[best])
+            for word in {int(spans.first[pair]), int(spans.second[pair])} & place.keys():
+                has[has[:, best] > 0, place[word]] = 0  # there the pair explains its words
 
 
 def _windows(word: str) -> list[str]:
@@ -522,8 +555,10 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
         h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2)
         step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-6 * b)
         b += np.clip(step, -5, 5)
-    slope = max(float(b[0]), 1e-3)
-    return slope, float(-b[1] / slope)
+    if b[0] <= 1e-3:  # margins say nothing: every text has the share of toxic ones
+        share = float(y.mean())
+        return 1e-3, float(np.log((1 - share) / share) / 1e-3)
+    return float(b[0]), float(-b[1] / b[0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -632,9 +667,9 @@ def add_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
     """``docs`` (text among its columns) with one more column, which must not be in it yet."""
     ship(docs.sparkSession)
     place = [c.lower() for c in docs.columns].index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    names = schema.names
-    return docs.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(b.columns, names=names) for b in _scored(it, model, place)), schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # some names cannot pass
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)] + [T.StructField("score", T.DoubleType())])
+    return docs.toDF(*names).mapInArrow(lambda it: _scored(it, model, place), schema).toDF(*docs.columns, score)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .test_operators import margins, near_truth, toxic_corpus
 
 
 def copies_of(doc_id, mean):
-    u = int(hashlib.md5(f"count{mixing.SEED}:{doc_id}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+    u = int(hashlib.md5(f"count{mixing.SEED}:{doc_id}:0".encode()).hexdigest()[:13], 16) / float(1 << 52)
     term = total = math.exp(-mean)
     k = 0
     while total <= u:
@@ -55,3 +55,17 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     for pieces in windows.values():
         ends = np.cumsum([n for _, n in sorted(pieces)])
         assert ends[-1] <= 1024 and [a for a, _ in sorted(pieces)] == [0, *ends[:-1].tolist()]
+
+
+def test_pipeline_takes_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
+    schema, marks = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+    rows = [(None, "no id here", None, None, None), (1, None, "en", "a", 0), (2, "two words", "en", "a", 9), (2, "two words", "en", "a", 9), (3, "", None, "b", 0), (4, "two words", "en", None, 9)]
+    for name, docs, labels in (("odd", rows, [(2, None, None), (None, 1, 1)]), ("none", [], [])):
+        spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, marks).write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        clean = corpus_pipeline.toxicity(spark, docs, str(tmp_path / name))
+        one = corpus_pipeline.near_duplicates(spark, clean, str(tmp_path / name))
+        assert clean.count() == len(rows) * (name == "odd") and sorted((r["doc_id"] for r in one.collect()), key=str) == ([1, 2, 3, None] if name == "odd" else [])
+        assert corpus_pipeline.mixing(spark, one, str(tmp_path / name)).columns == docs.columns
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).where("length <= 0").count() == 0
