@@ -548,8 +548,9 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and middle by Newton steps on smoothed targets."""
     y = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
     weight = np.full(len(toxic), 1 / len(toxic))
-    x = np.column_stack([margin, np.ones(len(margin))])
-    b = np.array([2.0, 0.0])
+    centre = margin.mean()
+    x = np.column_stack([margin - centre, np.ones(len(margin))])
+    b = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2)
@@ -558,7 +559,7 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     if b[0] <= 1e-3:  # margins say nothing: every text has the share of toxic ones
         share = float(y.mean())
         return 1e-3, float(np.log((1 - share) / share) / 1e-3)
-    return float(b[0]), float(-b[1] / b[0])
+    return float(b[0]), float(centre - b[1] / b[0])
 
 
 def held_out(doc_id: Column) -> Column:
