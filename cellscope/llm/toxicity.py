@@ -551,11 +551,20 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     centre = margin.mean()
     x = np.column_stack([margin - centre, np.ones(len(margin))])
     b = np.zeros(2)
-    for _ in range(50):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 5e-7 * b @ b)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-6 * b)
-        b += np.clip(step, -5, 5)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step, now, size = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-6 * b), loss(b), 1.0
+        while size > 1e-6 and loss(b + size * step) > now:
+            size /= 2
+        b += size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     if b[0] <= 1e-3:  # margins say nothing: every text has the share of toxic ones
         share = float(y.mean())
         return 1e-3, float(np.log((1 - share) / share) / 1e-3)
