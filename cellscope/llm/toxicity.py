@@ -473,10 +473,12 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
         pair_score = model.pair_margins(parts, spans.first, spans.second)
         score = np.where(letters_in >= 1, parts.margin, -np.inf)
         found = [(float(score[i]), spans.words[i]) for i in np.flatnonzero((spans.word_in[0] > 0) & ~in_bad & (score > -0.9))]
+        held |= {spans.words[i]: float(spans.word_in[0][i]) for i in np.flatnonzero((spans.word_in[0] > 1) & ~in_bad)}
         found = [(s, p) for s, w in found for p in _windows(w)]
         # a pair that is no worse than its words says nothing that they do not
         some = np.flatnonzero((spans.pair_in[0] > 0) & (pair_score > np.maximum(-0.9, np.maximum(score[spans.first], score[spans.second]))) & ~in_bad[spans.first] & ~in_bad[spans.second])
         found += [(float(pair_score[i]), spans.pair(i)) for i in some[np.argsort(-pair_score[some], kind="stable")[:WORST]]]
+        held |= {spans.pair(i): float(spans.pair_in[0][i]) for i in some[np.argsort(-pair_score[some], kind="stable")[:WORST]]}
         more = [v for _, v in sorted(found, key=lambda t: (-t[0], t[1]))[:WORST]]
         negatives = [v for v in dict.fromkeys([*negatives, *more]) if v not in is_bad]
     # the logistic curve on whole texts
