@@ -118,14 +118,18 @@ def contrasts(per_seed: DataFrame, replicates: int) -> DataFrame:
 
 
 def headline(found: DataFrame) -> DataFrame:
-    """(best_spatial, best_spatial_mean, embedding_beats, combined_beats) of ``contrasts``: a strategy
-    beats the best spatial one by a mean difference above 0 with p below ALPHA."""
+    """(best_spatial, best_spatial_mean, embedding_beats, combined_beats, verdict) of ``contrasts``: a
+    strategy beats the best spatial one by a mean difference above 0 with p below ALPHA; the verdict
+    says so in words."""
     beats = lambda c: F.bool_or((F.col("contrast") == c) & (F.col("mean_diff") > 0) & (F.col("p") < ALPHA))
     best = F.col("contrast") == "combined_vs_best_spatial"
-    return found.agg(
+    out = found.agg(
         F.max(F.when(best, F.col("b"))).alias("best_spatial"), F.max(F.when(best, F.col("b_mean"))).alias("best_spatial_mean"),
         beats("best_embedding_vs_best_spatial").alias("embedding_beats"), beats("combined_vs_best_spatial").alias("combined_beats"),
     )
+    who = F.concat_ws(" and ", F.when(F.col("embedding_beats"), "embedding"), F.when(F.col("combined_beats"), "combined"))
+    said = F.when(who != "", F.concat(who, F.lit(" acquisition beats "), F.col("best_spatial"))).otherwise(F.concat(F.lit("no strategy beats "), F.col("best_spatial")))
+    return out.withColumn("verdict", F.concat(said, F.lit(f" at p < {ALPHA}")))
 
 
 def accumulation(order: DataFrame, by: list[str]) -> DataFrame:

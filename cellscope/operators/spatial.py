@@ -33,8 +33,8 @@ def _distance(x: Column, y: Column) -> Column:
 def nearest_polygon(points: DataFrame, ring_edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, inside, poly, distance): the polygon that holds the point, else the nearest.
 
-    Points inside a polygon are settled by ray casting alone; only the others need distances. The
-    edge table is the boundary file's, of a fixed size; it is joined to every point.
+    Every point meets every edge once, for the ray cast and the distance alike. The edge table is the
+    boundary file's, whose size does not grow with the points; points are cells, which the grid bounds.
     """
     rows = points.join(ring_edges, F.lit(True))
     per = rows.groupBy(*keys, "poly").agg((F.count_if(_crosses(F.col("px"), F.col("py"))) % 2 == 1).alias("inside"), F.min(_distance(F.col("px"), F.col("py"))).alias("d"))

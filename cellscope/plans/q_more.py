@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +12,7 @@ from cellscope.operators import statistics as S
 from cellscope.plans.base import query
 from cellscope.plans.views import COARSE, OBS, POOL, RES, SPLIT, obs, pool, table
 from cellscope.sources import files
+from cellscope.sources.scratch import scratch
 
 _BIN = f"WITH {OBS}, b AS (SELECT *, CAST(floor(lat/{RES}) AS INT) AS gi, CAST(floor(lon/{RES}) AS INT) AS gj FROM obs)"
 
@@ -328,46 +325,29 @@ def dom46(spark, sf):
     return acquire.contrasts(acquire.curve_area(_runs(spark, sf), FULL_BUDGET), REPLICATES)
 
 
-_PAIRS = "prs AS (SELECT c_custkey AS unit, (c_custkey*37 % 101 - 45)/10.0e0 AS d FROM customer WHERE c_custkey <= 40)"
+_PAIRS = "prs AS (SELECT c_custkey AS unit, (c_custkey*37 % 101 - 45)/10.0e0 AS d FROM customer)"
 _HASH = lambda *p: "(('0x'||substr(md5(" + "||':'||".join(p) + "), 1, 8))::BIGINT % 2147483648)"
 
 
 def _pairs(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("unit"), ((F.col("c_custkey") * 37 % 101 - 45) / 10.0).alias("d"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), ((F.col("c_custkey") * 37 % 101 - 45) / 10.0).alias("d"))
 
 
-@query("dom44_sign_flip", f"WITH {_PAIRS}, m AS (SELECT b, abs(avg(CASE WHEN {_HASH(chr(39) + 'sign' + chr(39), 'b', 'unit')} % 2 = 0 THEN d ELSE -d END)) AS m FROM prs, range(500) t(b) GROUP BY b), s AS (SELECT avg(d) AS mean_diff FROM prs) SELECT mean_diff, avg(CASE WHEN m >= abs(mean_diff) - 1e-12 THEN 1.0e0 ELSE 0 END) AS p FROM m, s GROUP BY mean_diff", "mean_diff p")
+@query("dom44_sign_flip", f"WITH {_PAIRS}, m AS (SELECT b, abs(avg(CASE WHEN {_HASH(chr(39) + 'sign' + chr(39), 'b', 'unit')} % 2 = 0 THEN d ELSE -d END)) AS m FROM prs, range({REPLICATES}) t(b) GROUP BY b), s AS (SELECT avg(d) AS mean_diff FROM prs) SELECT mean_diff, avg(CASE WHEN m >= abs(mean_diff) - 1e-12 THEN 1.0e0 ELSE 0 END) AS p FROM m, s GROUP BY mean_diff", "mean_diff p")
 def dom44(spark, sf):
-    return S.sign_flip_p(_pairs(spark, sf), 500)
+    return S.sign_flip_p(_pairs(spark, sf), REPLICATES)
 
 
-@query("dom45_bootstrap", f"WITH {_PAIRS}, r AS (SELECT d, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM prs), m AS (SELECT b, avg(x.d) AS m FROM (SELECT b, {_HASH(chr(39) + 'boot' + chr(39), 'b', 'i')} % n AS j FROM r, range(500) t(b)) q JOIN r x ON x.i = q.j GROUP BY b) SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m", "lo hi")
+@query("dom45_bootstrap", f"WITH {_PAIRS}, r AS (SELECT d, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM prs), m AS (SELECT b, avg(x.d) AS m FROM (SELECT b, {_HASH(chr(39) + 'boot' + chr(39), 'b', 'i')} % n AS j FROM r, range({REPLICATES}) t(b)) q JOIN r x ON x.i = q.j GROUP BY b) SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m", "lo hi")
 def dom45(spark, sf):
-    return S.bootstrap_interval(_pairs(spark, sf), 500)
-
-
-@query("win12_accumulation", f"WITH {OBS}, o AS (SELECT DISTINCT grp, id*100000+taxon AS step, taxon AS species FROM obs WHERE id % 40 = 1), f AS (SELECT *, (row_number() OVER (PARTITION BY grp, species ORDER BY step) = 1)::INT AS new FROM o) SELECT grp, step, species, CAST(sum(new) OVER (PARTITION BY grp ORDER BY step) AS BIGINT) AS n_species FROM f")
-def win12(spark, sf):
-    return acquire.accumulation(obs(spark, sf).where("id % 40 = 1").select("grp", (F.col("id") * 100000 + F.col("taxon")).alias("step"), F.col("taxon").alias("species")).distinct(), ["grp"])
-
-
-# The whole tables; the queries above and their SQL read a sample of ids.
-def _all_pairs(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), ((F.col("c_custkey") * 37 % 101 - 45) / 10.0).alias("d"))
-
+    return S.bootstrap_interval(_pairs(spark, sf), REPLICATES)
 
-@query("dom44_sign_flip_all")
-def dom44_all(spark, sf):
-    return S.sign_flip_p(_all_pairs(spark, sf), REPLICATES)
 
+_CURVE = f"f AS (SELECT grp, id AS step, taxon AS species, (row_number() OVER (PARTITION BY grp, taxon ORDER BY id) = 1)::INT AS new FROM (SELECT DISTINCT grp, id, taxon FROM {{rows}})) SELECT grp, step, species, CAST(sum(new) OVER (PARTITION BY grp ORDER BY step, species) AS BIGINT) AS n_species FROM f"
 
-@query("dom45_bootstrap_all")
-def dom45_all(spark, sf):
-    return S.bootstrap_interval(_all_pairs(spark, sf), REPLICATES)
 
-
-@query("win12_accumulation_all", f"WITH {OBS}, f AS (SELECT grp, id AS step, taxon AS species, (row_number() OVER (PARTITION BY grp, taxon ORDER BY id) = 1)::INT AS new FROM (SELECT DISTINCT grp, id, taxon FROM obs)) SELECT grp, step, species, CAST(sum(new) OVER (PARTITION BY grp ORDER BY step, species) AS BIGINT) AS n_species FROM f")
-def win12_all(spark, sf):
+@query("win12_accumulation", f"WITH {OBS}, {_CURVE.format(rows='obs')}")
+def win12(spark, sf):
     return acquire.accumulation(obs(spark, sf).select("grp", F.col("id").alias("step"), F.col("taxon").alias("species")).distinct(), ["grp"])
 
 
@@ -392,11 +372,15 @@ def dom49(spark, sf):
     return d.groupBy("q", "qs").agg(F.min_by("species", "d").alias("nearest")).agg(F.count("*").alias("n"), F.avg((F.col("qs") == F.col("nearest")).cast("int")).alias("accuracy"))
 
 
-@query("dom50_rare_species", f"{_BIN}, r AS (SELECT taxon FROM b GROUP BY taxon HAVING count(*) <= 25) SELECT gi, count(DISTINCT taxon) AS n_rare FROM b JOIN r USING (taxon) GROUP BY gi")
+RARE_BEFORE = "1995-07-01"
+
+
+@query("dom50_rare_species", f"WITH {OBS}, r AS (SELECT taxon FROM obs WHERE day < DATE '{RARE_BEFORE}' GROUP BY taxon HAVING count(*) <= 3), o AS (SELECT * FROM obs JOIN r USING (taxon)), {_CURVE.format(rows='o')}")
 def dom50(spark, sf):
-    b = _b(spark, sf)
-    rare = b.groupBy("taxon").agg(F.count("*").alias("n")).where("n <= 25").select("taxon")
-    return b.join(rare, "taxon").groupBy("gi").agg(F.count_distinct("taxon").alias("n_rare"))
+    """The accumulation curve of the species that have at most three records before a day."""
+    o = obs(spark, sf)
+    rare = o.where(F.col("day") < F.lit(RARE_BEFORE).cast("date")).groupBy("taxon").agg(F.count(F.lit(1)).alias("n")).where("n <= 3").select("taxon")
+    return acquire.accumulation(o.join(rare, "taxon").select("grp", F.col("id").alias("step"), F.col("taxon").alias("species")).distinct(), ["grp"])
 
 
 # ---- rasters
@@ -523,40 +507,17 @@ def scl5(spark, sf):
     return _b(spark, sf).select("gi").distinct().select("gi", X.cell_area_km2(lat, RES).alias("km2"), X.implied_records(F.lit(0.37), lat, RES).alias("implied"))
 
 
-# ---- sources and sinks, by way of files
-def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="cellscope-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, uuid.uuid4().hex)
-
-
-@query("src1_csv_scan", f"WITH {OBS} SELECT id, lat, lon, taxon, day, rank FROM obs WHERE taxon % 10 = 0", "lat lon")
+# ---- sources
+@query("src1_csv_scan", f"WITH {OBS} SELECT id, lat, lon, taxon, day, rank FROM obs", "lat lon")
 def src1(spark, sf):
-    path = _folder(spark)
-    obs(spark, sf).where("taxon % 10 = 0").select("id", "lat", "lon", "taxon", "day", "rank").write.option("header", True).csv(path)
-    return files.read_csv(spark, path).withColumn("day", files.day_of(F.col("day")))
-
-
-@query("src2_files_by_group", f"WITH {OBS} SELECT CASE WHEN grp='O' THEN 'Aves' ELSE 'Insecta' END AS \"group\", CASE WHEN grp='O' THEN 'east' ELSE 'bc' END AS region, count(*) AS n FROM obs WHERE taxon % 10 = 0 GROUP BY 1, 2")
-def src2(spark, sf):
-    path, o = _folder(spark), obs(spark, sf).where("taxon % 10 = 0").select("id", "lat", "lon", "taxon", "day", "rank", "grp")
-    for g, name in (("O", "inat_east_Aves.csv"), ("F", "inat_Insecta.csv")):
-        o.where(F.col("grp") == g).drop("grp").write.option("header", True).csv(f"{path}/{name}")
-    return files.read_by_group(spark, f"{path}/*.csv", files.OBS_SCHEMA).groupBy("group", "region").agg(F.count("*").alias("n"))
-
-
-@query("src1_csv_scan_all", f"WITH {OBS} SELECT id, lat, lon, taxon, day, rank FROM obs", "lat lon")
-def src1_all(spark, sf):
-    path = _folder(spark)
+    path = scratch(spark)
     obs(spark, sf).select("id", "lat", "lon", "taxon", "day", "rank").write.option("header", True).csv(path)
     return files.read_csv(spark, path).withColumn("day", files.day_of(F.col("day")))
 
 
-@query("src2_files_by_group_all", f"WITH {OBS} SELECT CASE WHEN grp='O' THEN 'Aves' ELSE 'Insecta' END AS \"group\", CASE WHEN grp='O' THEN 'east' ELSE 'bc' END AS region, count(*) AS n FROM obs GROUP BY 1, 2")
-def src2_all(spark, sf):
-    path, o = _folder(spark), obs(spark, sf).select("id", "lat", "lon", "taxon", "day", "rank", "grp")
+@query("src2_files_by_group", f"WITH {OBS} SELECT CASE WHEN grp='O' THEN 'Aves' ELSE 'Insecta' END AS \"group\", CASE WHEN grp='O' THEN 'east' ELSE 'bc' END AS region, count(*) AS n FROM obs GROUP BY 1, 2")
+def src2(spark, sf):
+    path, o = scratch(spark), obs(spark, sf).select("id", "lat", "lon", "taxon", "day", "rank", "grp")
     for g, name in (("O", "inat_east_Aves.csv"), ("F", "inat_Insecta.csv")):
         o.where(F.col("grp") == g).drop("grp").write.option("header", True).csv(f"{path}/{name}")
     return files.read_by_group(spark, f"{path}/*.csv", files.OBS_SCHEMA).groupBy("group", "region").agg(F.count("*").alias("n"))
@@ -564,7 +525,7 @@ def src2_all(spark, sf):
 
 @query("src4_positional_json", f"WITH {OBS}, c AS (SELECT grp, floor(lat/5)*5.0e0 AS lat, floor(lon/5)*5.0e0 AS lon, count(*) AS n FROM obs GROUP BY ALL) SELECT grp, lat, lon, n::DOUBLE AS n_train FROM c", "lat lon n_train")
 def src4(spark, sf):
-    path = _folder(spark)
+    path = scratch(spark)
     zero = F.lit(0.0)
     o = obs(spark, sf).groupBy("grp", (F.floor(F.col("lat") / 5) * 5.0).alias("lat"), (F.floor(F.col("lon") / 5) * 5.0).alias("lon")).agg(F.count("*").alias("n_train"))
     rows = o.select("grp", "lat", "lon", *[zero.alias(c) for c in files.ROW[2:8]], "n_train")
@@ -577,29 +538,11 @@ def src5(spark, sf):
     return files.keyset_pages(obs(spark, sf).select("id"), "id", 200, 8)
 
 
-@query("src9_occurrence_cells", f"{_BIN} SELECT DISTINCT taxon, gi, gj FROM b WHERE taxon % 40 = 0")
+@query("src9_occurrence_cells", f"{_BIN} SELECT DISTINCT taxon, gi, gj FROM b")
 def src9(spark, sf):
-    return _b(spark, sf).where("taxon % 40 = 0").select("taxon", "gi", "gj").distinct()
-
-
-@query("src9_occurrence_cells_all", f"{_BIN} SELECT DISTINCT taxon, gi, gj FROM b")
-def src9_all(spark, sf):
     return _b(spark, sf).select("taxon", "gi", "gj").distinct()
 
 
-@query("snk6_hidden_keys", f"{_BIN} SELECT DISTINCT printf('%.3f,%.3f', (gi+0.5e0)*{RES}, (gj+0.5e0)*{RES}) AS key FROM b WHERE (gi + gj) % 3 = 0")
-def snk6(spark, sf):
-    return _b(spark, sf).where("(gi + gj) % 3 = 0").select("gi", "gj").distinct().select(X.cell_key(C.centre(F.col("gi"), RES), C.centre(F.col("gj"), RES)).alias("key"))
-
-
-@query("snk4_patched_column", f"{_BIN}, c AS (SELECT grp, gi, count(*)::DOUBLE AS v FROM b GROUP BY ALL), p AS (SELECT gi, count(DISTINCT taxon)::DOUBLE AS w FROM b WHERE gi % 2 = 0 GROUP BY gi) SELECT grp, gi, CASE WHEN grp = 'F' THEN v ELSE coalesce(w, 0) END AS v FROM c LEFT JOIN p USING (gi)", "v")
-def snk4(spark, sf):
-    b = _b(spark, sf)
-    c = b.groupBy("grp", "gi").agg(F.count("*").cast("double").alias("v"))
-    patch = b.where("gi % 2 = 0").groupBy("gi").agg(F.count_distinct("taxon").cast("double").alias("w"))
-    return c.join(patch, "gi", "left").select("grp", "gi", F.when(F.col("grp") == "F", F.col("v")).otherwise(F.coalesce("w", F.lit(0.0))).alias("v"))
-
-
 @query("agg29_manifest_hash", "SELECT sha256(string_agg(path||':'||h, chr(10) ORDER BY path||':'||h)) AS manifest_hash, count(*) AS n_files FROM (SELECT 'doc'||doc_id||'.txt' AS path, sha256(text) AS h FROM documents)")
 def agg29(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -608,7 +551,7 @@ def agg29(spark, sf):
 
 @query("hsh1_file_records")
 def hsh1(spark, sf):
-    return provenance.file_records(spark, f"{sf}/region.parquet")
+    return provenance.file_records(spark, f"{sf}/*.parquet")
 
 
 @query("top2_top_fifth", f"{_BIN}, c AS (SELECT gi, gj, count(*) AS n FROM b GROUP BY ALL) SELECT gi, gj, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, gi, gj) AS r, greatest(1, count(*) OVER () // 5) AS k FROM c) WHERE r <= k")

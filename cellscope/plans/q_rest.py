@@ -14,6 +14,7 @@ from cellscope.operators import scaling as W
 from cellscope.operators import statistics as S
 from cellscope.plans import q_cells, q_map, q_more
 from cellscope.plans.base import query
+from cellscope.sources.scratch import scratch
 from cellscope.plans.views import COARSE, OBS, RES, SPLIT, cells_sql, obs, table
 
 _BIN = f"WITH {OBS}, b AS (SELECT *, CAST(floor(lat/{RES}) AS INT) AS gi, CAST(floor(lon/{RES}) AS INT) AS gj FROM obs)"
@@ -290,7 +291,7 @@ def dom56(spark, sf):
 
 @query("dom57_provenance")
 def dom57(spark, sf):
-    return provenance.manifest_hash(provenance.file_records(spark, f"{sf}/region.parquet"))
+    return provenance.manifest_hash(provenance.file_records(spark, f"{sf}/*.parquet"))
 
 
 @query("trp1_one_way_hours", f"WITH {q_map._TRIP0} SELECT gi, gj, km*1.35e0/5 AS walk, km*1.35e0/14 AS cycle, km*1.35e0/60 AS drive FROM km", "walk cycle drive")
@@ -314,7 +315,7 @@ def src16(spark, sf):
 @query("src23_one_group", f"WITH {OBS} SELECT CAST(floor(lat/{COARSE}) AS INT) AS gi, count(*) AS n FROM obs WHERE grp = 'F' GROUP BY 1")
 def src23(spark, sf):
     """A group's rows from a table partitioned by group: other groups' files are not read."""
-    path = q_more._folder(spark)
+    path = scratch(spark)
     C.binned(obs(spark, sf), COARSE).select("gi", "grp").write.partitionBy("grp").parquet(path)
     return spark.read.parquet(path).where("grp = 'F'").groupBy("gi").agg(F.count("*").alias("n"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscope.plans import base, q_cells, q_map, q_more, q_rest
+from cellscope.plans import base, q_cells, q_files, q_map, q_more, q_rest
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(base.SQL)
 
 
-__all__ = ["entry", "oracle_sql", "q_cells", "q_map", "q_more", "q_rest", "queries"]
+__all__ = ["entry", "oracle_sql", "q_cells", "q_files", "q_map", "q_more", "q_rest", "queries"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBS_SCHEMA = "id bigint, lat double, lon double, taxon bigint, day string, rank string"
-#: Places of the published positional rows.
+# Places of the published positional rows.
 ROW = ("lat", "lon", "discover", "conservation", "env", "staleness", "urgency", "travel_min", "n_train")
 
 
@@ -64,3 +64,64 @@ def union_pulls(*pulls: DataFrame, key: str = "id") -> DataFrame:
     for t in tagged[1:]:
         rows = rows.unionByName(t)
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__pull"))).where("__n = 1").drop("__n", "__pull")
+
+
+def write_cells_csv(cells: DataFrame, path: str) -> None:
+    """Cell tables as CSV with a header; nulls are empty fields."""
+    cells.write.option("header", True).option("nullValue", "").mode("overwrite").csv(path)
+
+
+def read_cells_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+
+
+def write_results_json(results: DataFrame, path: str) -> None:
+    """One JSON document a row and line; absent values are left out."""
+    results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_results_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def write_groups(grid: DataFrame, path: str) -> None:
+    """Positional documents under ``path``/group=.., and ``path``/index with the groups' cell counts."""
+    positional_json(grid).select(F.col("grp").alias("group"), F.col("doc").alias("value")).write.mode("overwrite").partitionBy("group").text(f"{path}/groups")
+    index = grid.groupBy("grp").agg(F.count(F.lit(1)).alias("n_cells"))
+    write_results_json(index, f"{path}/index")
+
+
+def patch_groups(spark: SparkSession, path: str, patched: str, value: DataFrame, column: str, but: tuple[str, ...] = ()) -> None:
+    """The documents under ``path`` again under ``patched``, one column taken from ``value`` (lat, lon,
+    value; 0 where it has no such cell), except for some groups."""
+    rows = read_positional(spark, f"{path}/groups/*")
+    new = F.when(F.col("grp").isin(*but), F.col(column)) if but else F.when(F.lit(False), F.col(column))
+    rows = rows.join(value.withColumnRenamed("value", "__new"), ["lat", "lon"], "left").withColumn(column, new.otherwise(F.coalesce("__new", F.lit(0.0)))).drop("__new")
+    write_groups(rows, patched)
+
+
+def write_keys(keys: DataFrame, path: str) -> None:
+    """Hidden cells as one key a line."""
+    keys.select(F.col("key").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("value").alias("key"))
+
+
+def match_names(names: DataFrame, backbone: DataFrame) -> DataFrame:
+    """(name, key): names that the backbone (name, key) has, whatever their case and outer spaces;
+    others are dropped."""
+    plain = lambda c: F.lower(F.trim(F.col(c)))
+    known = backbone.groupBy(plain("name").alias("__name")).agg(F.min("key").alias("key"))
+    return names.join(known, plain("name") == F.col("__name")).select("name", "key")
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """(country, ring, x1, y1, x2, y2): the edges of GeoJSON polygons, keyed by country."""
+    shape = "features array<struct<properties: struct<country: string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    docs = spark.read.option("wholetext", True).text(path)
+    features = docs.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
+    rings = features.select(F.col("f.properties.country").alias("country"), F.posexplode("f.geometry.coordinates").alias("ring", "r"))
+    edges = rings.select("country", "ring", F.explode(F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("a"), F.slice("r", 2, F.size("r") - 1).alias("b"))).alias("e"))
+    return edges.select("country", "ring", *[F.get(F.col("e")[k], F.lit(i)).alias(n) for n, k, i in (("x1", "a", 0), ("y1", "a", 1), ("x2", "b", 0), ("y2", "b", 1))])

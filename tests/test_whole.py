@@ -33,21 +33,21 @@ def customers():
 
 def test_pair_tests_read_every_customer(spark):
     units, d = customers()
-    got = QUERIES["dom44_sign_flip_all"](spark, DATA).first()
+    got = QUERIES["dom44_sign_flip"](spark, DATA).first()
     assert abs(got["mean_diff"] - d.mean()) < 1e-6 and len(units) > 40
     assert abs(got["p"] - flips(units, d, 20_000)) < 1e-6
-    got = QUERIES["dom45_bootstrap_all"](spark, DATA).first()
+    got = QUERIES["dom45_bootstrap"](spark, DATA).first()
     assert np.abs(np.array([got["lo"], got["hi"]]) - interval(d, 20_000)).max() < 2e-6
 
 
 def test_whole_observations_are_read(spark):
     t = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"]).to_pandas()
-    curve = QUERIES["win12_accumulation_all"](spark, DATA).toPandas()
+    curve = QUERIES["win12_accumulation"](spark, DATA).toPandas()
     assert len(curve) == len(t.drop_duplicates())
     assert curve.groupby("grp")["n_species"].max().to_dict() == t.groupby("l_linestatus")["l_partkey"].nunique().to_dict()
-    assert QUERIES["src1_csv_scan_all"](spark, DATA).count() == len(t)
-    assert {r["group"]: r["n"] for r in QUERIES["src2_files_by_group_all"](spark, DATA).collect()} == {"Aves": (t.l_linestatus == "O").sum(), "Insecta": (t.l_linestatus == "F").sum()}
-    assert QUERIES["src9_occurrence_cells_all"](spark, DATA).select("taxon").distinct().count() == t.l_partkey.nunique()
+    assert QUERIES["src1_csv_scan"](spark, DATA).count() == len(t)
+    assert {r["group"]: r["n"] for r in QUERIES["src2_files_by_group"](spark, DATA).collect()} == {"Aves": (t.l_linestatus == "O").sum(), "Insecta": (t.l_linestatus == "F").sum()}
+    assert QUERIES["src9_occurrence_cells"](spark, DATA).select("taxon").distinct().count() == t.l_partkey.nunique()
 
 
 def test_full_numbers_of_permutations_runs_and_picks(spark):
@@ -83,3 +83,19 @@ def test_contrasts_and_headline(spark):
     assert noise["mean_diff"] > 0 and noise["p"] > 0.05
     head = acquire.headline(found).first()
     assert (head["best_spatial"], head["embedding_beats"], head["combined_beats"]) == ("spatial_coverage_raw", True, False)
+    assert head["verdict"] == "embedding acquisition beats spatial_coverage_raw at p < 0.05"
+
+
+def test_every_file_is_hashed(spark):
+    import os
+
+    got = {r["path"]: (r["sha256"], r["size_bytes"]) for r in QUERIES["hsh1_file_records"](spark, DATA).collect()}
+    want = {}
+    for name in os.listdir(DATA):
+        if name.endswith(".parquet"):
+            data = open(f"{DATA}/{name}", "rb").read()
+            want[name] = (hashlib.sha256(data).hexdigest(), len(data))
+    assert got == want
+    lines = "\n".join(sorted(f"{k}:{h}" for k, (h, _) in want.items()))
+    one = QUERIES["dom57_provenance"](spark, DATA).first()
+    assert (one["manifest_hash"], one["n_files"]) == (hashlib.sha256(lines.encode()).hexdigest(), len(want))
