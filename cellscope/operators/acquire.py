@@ -18,6 +18,8 @@ from cellscope.functions.shipping import ship
 from cellscope.operators import statistics as S
 
 STRATEGIES = ("random", "spatial_coverage", "spatial_coverage_raw", "embedding_novelty", "embedding_kmeanspp", "combined", "combined_raw")
+#: The distances that each strategy reads.
+NEEDS = {"random": (), "spatial_coverage": ("geo",), "spatial_coverage_raw": ("raw",), "embedding_novelty": ("emb",), "embedding_kmeanspp": ("emb",), "combined": ("geo", "emb"), "combined_raw": ("raw", "emb")}
 #: The most records a pool may have; beyond it the run is refused, never cut.
 MOST = 100_000
 
@@ -35,7 +37,7 @@ def run_one(strategy: str, seed: int, keys: np.ndarray, lat: np.ndarray, lon: np
     """(step, key, species so far) of one run; the first pick depends on the seed only."""
     n = len(keys)
     rad = np.radians(lat), np.radians(lon)
-    far = {"geo": np.full(n, np.inf), "raw": np.full(n, np.inf), "emb": np.full(n, np.inf)}
+    far = {k: np.full(n, np.inf) for k in NEEDS[strategy]}
     open_, seen, out = np.ones(n, bool), set(), []
     pick = min(int(_draw("start", seed) * n), n - 1) if n else 0
     order = iter(sorted(range(n), key=lambda i: (_draw("pick", seed, int(keys[i])), i)) if strategy == "random" else ())
@@ -58,10 +60,13 @@ def run_one(strategy: str, seed: int, keys: np.ndarray, lat: np.ndarray, lon: np
         out.append((step, int(keys[pick]), len(seen)))
         if len(seen) >= budget:
             break
-        h = np.sin((rad[0] - rad[0][pick]) / 2) ** 2 + np.cos(rad[0]) * np.cos(rad[0][pick]) * np.sin((rad[1] - rad[1][pick]) / 2) ** 2
-        far["geo"] = np.minimum(far["geo"], 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
-        far["raw"] = np.minimum(far["raw"], np.hypot(lat - lat[pick], lon - lon[pick]))
-        far["emb"] = np.minimum(far["emb"], 1 - unit @ unit[pick])
+        if "geo" in far:
+            h = np.sin((rad[0] - rad[0][pick]) / 2) ** 2 + np.cos(rad[0]) * np.cos(rad[0][pick]) * np.sin((rad[1] - rad[1][pick]) / 2) ** 2
+            far["geo"] = np.minimum(far["geo"], 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
+        if "raw" in far:
+            far["raw"] = np.minimum(far["raw"], np.hypot(lat - lat[pick], lon - lon[pick]))
+        if "emb" in far:
+            far["emb"] = np.minimum(far["emb"], 1 - unit @ unit[pick])
     return out
 
 

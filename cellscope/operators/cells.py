@@ -24,6 +24,11 @@ def index_of_centre(degrees: Column, res: float) -> Column:
     return F.rint(degrees / res - 0.5).cast("int")
 
 
+def grid_size(res: float) -> int:
+    """The most cells that coordinates on the globe can fall into."""
+    return (int(180 / res) + 1) * (int(360 / res) + 1)
+
+
 def binned(obs: DataFrame, res: float) -> DataFrame:
     return obs.withColumns({"gi": bin_of(F.col("lat"), res), "gj": bin_of(F.col("lon"), res)})
 

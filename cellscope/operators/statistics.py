@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cellscope.operators.scaling import average_rank, with_totals
 
 SLACK = 1e-12
+#: Rows of two numbers that may be broadcast, where the caller knows a bound.
+BROADCAST_ROWS = 2_000_000
 
 
 def finite(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,17 +43,21 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, min_n:
     return out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
 
 
-def permutation_null(df: DataFrame, score: str, outcome: str, keys: list[str], replicates: int) -> DataFrame:
+def permutation_null(df: DataFrame, score: str, outcome: str, keys: list[str], replicates: int, most: int | None = None) -> DataFrame:
     """One row: rho, p (no smoothing), mean and deviation of the null, and the least p above 0.
 
     Replicate r pairs the outcome's rows with the score's ranks in the order of md5(r:key).
-    The table must be of cells; replicates run in parallel, one window partition each.
+    The table must be of cells; replicates run in parallel, one window partition each. ``most`` is a
+    bound on its rows, as the grid gives it: up to BROADCAST_ROWS the ranks are broadcast, beyond it
+    or without one the join is left to the planner.
     """
     base = finite(df, score, outcome).select(F.concat_ws(",", *keys).alias("key"), average_rank(F.col(score)).alias("rs"), average_rank(F.col(outcome)).alias("ro"))
     base = base.withColumn("place", F.row_number().over(Window.orderBy("key")))
     draws = base.crossJoin(F.broadcast(base.sparkSession.range(replicates).select(F.col("id").alias("b"))))
     shuffled = draws.select("b", "rs", F.row_number().over(Window.partitionBy("b").orderBy(F.md5(F.concat_ws(":", F.col("b").cast("string"), "key")), "key")).alias("place"))
-    null = shuffled.join(F.broadcast(base.select("place", "ro")), "place").groupBy("b").agg(safe_corr(F.col("rs"), F.col("ro")).alias("rho_b"))
+    ranks = base.select("place", "ro")
+    ranks = F.broadcast(ranks) if most is not None and most <= BROADCAST_ROWS else ranks
+    null = shuffled.join(ranks, "place").groupBy("b").agg(safe_corr(F.col("rs"), F.col("ro")).alias("rho_b"))
     seen = base.agg(safe_corr(F.col("rs"), F.col("ro")).alias("rho"), F.count("*").alias("n"))
     return null.where("rho_b IS NOT NULL").crossJoin(F.broadcast(seen)).groupBy("rho", "n").agg(
         F.avg((F.abs("rho_b") >= F.abs("rho") - SLACK).cast("double")).alias("p"), F.avg("rho_b").alias("null_mean"), F.stddev_pop("rho_b").alias("null_sd")
@@ -107,12 +113,14 @@ def sign_flip_p(pairs: DataFrame, replicates: int, by: list[str] | None = None)
 
 
 def bootstrap_interval(pairs: DataFrame, replicates: int, by: list[str] | None = None) -> DataFrame:
-    """(by.., lo, hi), the 95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n."""
+    """(by.., lo, hi), the 95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n.
+
+    The rows grow with the input, so whether they are broadcast is the planner's choice by their size."""
     by = by or []
     rows = pairs.select(*by, "d", (F.row_number().over(Window.partitionBy(*by).orderBy("unit")) - 1).alias("i"))
     n = F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("n")))
     slots = _spread(rows.select(*by, F.col("i").alias("slot")), "slot").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
     draws = slots.join(n, by) if by else slots.crossJoin(n)
     draws = draws.select(*by, "b", (hash_int(F.lit("boot"), F.col("b"), F.col("slot")) % F.col("n")).cast("int").alias("i"))
-    means = draws.join(F.broadcast(rows), [*by, "i"]).groupBy(*by, "b").agg(F.avg("d").alias("m"))
+    means = draws.join(rows, [*by, "i"]).groupBy(*by, "b").agg(F.avg("d").alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))

@@ -133,11 +133,11 @@ _PAIRS = [("priority~new", "priority", "new_species"), ("priority~rarefied", "pr
 
 
 def _rhos(cells, pairs):
-    out, cells = None, cells.persist()  # a cell table, read once for each pair
-    for name, x, y in pairs:
-        one = S.spearman(cells, x, y).select(F.lit(name).alias("pair"), "n", "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(pair, n, rho) of all pairs in one pass, each ranked in a partition of its own."""
+    sides = [F.struct(F.lit(name).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for name, x, y in pairs]
+    found = S.spearman(cells.select(F.inline(F.array(*sides))), "x", "y", ["pair"])
+    named = cells.sparkSession.createDataFrame([(name,) for name, _, _ in pairs], "pair string")
+    return named.join(found, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("agg12_spearman", f"WITH {cells_sql(COARSE)} {_rank_sql('cells', _PAIRS)}", "rho")
@@ -155,12 +155,12 @@ SELECT rho, n, avg(CASE WHEN abs(rho_b) >= abs(rho) - 1e-12 THEN 1.0e0 ELSE 0.0e
 
 @query("dom6_permutation_null", f"WITH {cells_sql(COARSE)}, {_perm_sql('priority', 'rare_newK')}", "rho p null_mean null_sd p_floor")
 def dom6(spark, sf):
-    return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, PERMS)
+    return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, PERMS, C.grid_size(COARSE))
 
 
 @query("dom6_permutation_null_full", f"WITH {cells_sql(COARSE)}, {_perm_sql('priority', 'rare_newK', FULL_PERMS)}", "rho p null_mean null_sd p_floor")
 def dom6_full(spark, sf):
-    return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, FULL_PERMS)
+    return S.permutation_null(_cells(spark, sf, COARSE), "priority", "rare_newK", C.KEYS, FULL_PERMS, C.grid_size(COARSE))
 
 
 def _tercile_sql(x: str, y: str, table: str = "cells") -> str:

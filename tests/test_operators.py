@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellscope.functions import scalars as X
-from cellscope.operators import acquire, cells, impact, provenance, raster, scaling, species, statistics, trips
+from cellscope.operators import acquire, cells, impact, provenance, raster, scaling, spatial, species, statistics, trips
 from cellscope.sources import files, pages
 from cellscope.streaming import counters
 
@@ -126,6 +126,58 @@ def test_band_join_equals_the_plain_condition(spark):
     assert got == {(i, p) for i, x, y in pts for p, a, b in places if abs(x - a) <= 0.375 and abs(y - b) <= 0.375}
 
 
+def plain_nearest(x, y, rings):
+    """(inside, name, distance) by all edges of all rings."""
+    found = []
+    for name, ring in rings.items():
+        odd, least = False, math.inf
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd = not odd
+            t = min(1, max(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+            least = min(least, math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+        found.append((0.0 if odd else least, name, odd))
+    d, name, _ = min(found)
+    return any(f[2] for f in found), name, d
+
+
+@pytest.mark.parametrize("strip", [0.3, 1.0, 50.0])
+def test_nearest_polygon_equals_the_plain_loop(spark, strip):
+    rng = np.random.default_rng(4)
+    rings = {}
+    for i in range(15):  # stars, some overlapping
+        at, turn = rng.uniform(-20, 20, 2), np.sort(rng.uniform(0, 2 * math.pi, int(rng.integers(3, 12))))
+        r = rng.uniform(0.5, 6, len(turn))
+        rings[f"p{i:02d}"] = [(float(at[0] + a * math.cos(t)), float(at[1] + a * math.sin(t))) for a, t in zip(r, turn)]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-40, 40, (400, 2)))]
+    vertices = spark.createDataFrame([(n, i, *v) for n, ring in rings.items() for i, v in enumerate(ring)], "poly string, seq int, x double, y double")
+    points = spark.createDataFrame([*pts, (-1, None, 1.0), (-2, 1.0, None)], "id int, px double, py double")
+    got = {r["id"]: r for r in spatial.nearest_polygon(points, spatial.edges(vertices), ["id"], strip).collect()}
+    assert len(got) == 402 and 0 < sum(r["inside"] for r in got.values()) < 400
+    for i, x, y in pts:
+        inside, name, d = plain_nearest(x, y, rings)
+        assert (got[i]["inside"], got[i]["poly"]) == (inside, name) and abs(got[i]["distance"] - d) < 1e-9
+    assert all((got[i]["inside"], got[i]["poly"], got[i]["distance"]) == (False, None, None) for i in (-1, -2))
+    none = spatial.nearest_polygon(points, spatial.edges(vertices.limit(0)), ["id"]).collect()
+    assert len(none) == 402 and all((r["inside"], r["poly"], r["distance"]) == (False, None, None) for r in none)
+
+
+def test_null_is_the_same_however_the_ranks_are_joined(spark):
+    df = spark.createDataFrame([(i, i // 3, float(i % 7), float((i * 5) % 11)) for i in range(40)], "gi int, gj int, a double, b double")
+    plain = statistics.permutation_null(df, "a", "b", ["gi", "gj"], 20)
+    sent = statistics.permutation_null(df, "a", "b", ["gi", "gj"], 20, cells.grid_size(2.5))
+    assert np.allclose(plain.first(), sent.first(), atol=1e-12)
+
+
+def test_correlations_of_columns_without_numbers(spark):
+    from cellscope.plans.q_cells import _rhos
+
+    df = spark.createDataFrame([(1.0, 2, None), (2.0, 3, None), (3.0, 3, float("nan"))], "a double, b long, c double")
+    got = {r["pair"]: (r["n"], r["rho"]) for r in _rhos(df, [("ab", "a", "b"), ("ac", "a", "c")]).collect()}
+    assert got["ac"] == (0, None) and got["ab"][0] == 3 and abs(got["ab"][1] - math.sqrt(3) / 2) < 1e-12
+    assert {tuple(r) for r in _rhos(df.limit(0), [("ab", "a", "b")]).collect()} == {("ab", 0, None)}
+
+
 def test_acquisition(spark):
     rng = np.random.default_rng(1)
     rows = [(i, i % 7, float(40 + i % 9), float(-100 + i % 11), rng.standard_normal(8).tolist()) for i in range(60)]
