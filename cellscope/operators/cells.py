@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.functions.scalars import SPECIES_RANKS
-from cellscope.operators.scaling import min_max
+from cellscope.operators.scaling import min_max, with_totals
 
 KEYS = ["gi", "gj"]
 
@@ -67,37 +67,45 @@ def expected_new(n: Column, counts: Column, k: int) -> Column:
     return F.when(n >= k, F.round(F.aggregate(counts, F.lit(0.0), lambda s, c: s + 1 - missed(c)) + 1e-12, 9))
 
 
-def cell_table(obs: DataFrame, split: str, res: float, k: int = 5, keys: list[str] | None = None) -> DataFrame:
-    """The backtest's cells: what was known before the split, what was new after it.
-
-    Two aggregations and no join: (cell, taxon), which carries both sides of the split, then
-    cell. Only cells seen before the split appear; without rows on either side the table is empty.
-    """
-    extra = keys or []
+def _all_cells(obs: DataFrame, split: str, res: float, k: int, extra: list[str]) -> DataFrame:
+    """Two aggregations and no join: (cell, taxon), which carries both sides of the split, then cell."""
     taxa = by_cell_and_taxon(binned(obs, res), split, [*extra, *KEYS])
     new = (F.col("n_before") == 0) & (F.col("n_after") > 0)
     cells = taxa.groupBy(*extra, *KEYS).agg(
         F.sum("n_before").alias("n_train"), F.max("last").alias("last"), F.count_if(F.col("n_before") == 1).alias("f1"), F.count_if(F.col("n_before") == 2).alias("f2"),
         F.sum("n_after").alias("n_test"), F.count_if(new).alias("new_species"), F.collect_list(F.when(new, F.col("n_after"))).alias("new_counts"),
     )
-    any_test = F.broadcast(cells.agg(F.sum("n_test").alias("__all_test")))
-    cells = cells.crossJoin(any_test).where("n_train > 0 AND __all_test > 0").select(
+    return cells.select(
         *extra, *KEYS, centre(F.col("gi"), res).alias("clat"), centre(F.col("gj"), res).alias("clon"), "n_train",
         F.datediff(F.lit(split).cast("date"), F.col("last")).cast("bigint").alias("days_since"), chao_unseen(F.col("f1"), F.col("f2")).alias("chao_unseen"), "n_test", "new_species",
         (F.col("n_test") > 0).alias("revisited"), F.try_divide(F.col("new_species").cast("double"), F.nullif("n_test", F.lit(0))).alias("new_rate"),
         expected_new(F.col("n_test"), F.col("new_counts"), k).alias("rare_newK"),
     )
-    return cells
 
 
-def with_priority(cells: DataFrame) -> DataFrame:
-    """Scarcity, staleness and their mean; density as the control that points the other way."""
-    out = min_max(cells, scarcity=1.0 / F.col("n_train"), staleness=F.col("days_since"), density=F.col("n_train"))
-    return out.withColumn("priority", (F.col("scarcity") + F.col("staleness")) / 2)
+#: Cells seen before the split, if any row lies after it.
+_BOTH_SIDES = "n_train > 0 AND __all_test > 0"
+
+
+def cell_table(obs: DataFrame, split: str, res: float, k: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """The backtest's cells: what was known before the split, what was new after it.
+
+    Only cells seen before the split appear; without rows on either side the table is empty.
+    """
+    return with_totals(_all_cells(obs, split, res, k, keys or []), __all_test=F.sum("n_test")).where(_BOTH_SIDES).drop("__all_test")
 
 
 def backtest_cells(obs: DataFrame, split: str, res: float, k: int = 5) -> DataFrame:
-    return with_priority(cell_table(obs, split, res, k))
+    """``cell_table`` with scarcity, staleness and their mean; density as the control that points the
+    other way.
+
+    All whole-table values come from one aggregate that reads the columns of the cells themselves, so
+    both share the exchange by cell and taxon: the observations are scanned and shuffled once. Cells
+    without rows before the split are null there and so enter no range.
+    """
+    n = F.nullif("n_train", F.lit(0))
+    out = min_max(_all_cells(obs, split, res, k, []), {"__all_test": F.sum("n_test")}, scarcity=F.try_divide(F.lit(1.0), n), staleness=F.col("days_since"), density=n)
+    return out.where(_BOTH_SIDES).drop("__all_test").withColumn("priority", (F.col("scarcity") + F.col("staleness")) / 2)
 
 
 def range_rarity(obs: DataFrame, res: float) -> DataFrame:

@@ -20,10 +20,13 @@ def _over_range(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNotNull(), F.coalesce(F.try_divide(x - lo, F.nullif(hi - lo, F.lit(0.0))), F.lit(0.0)))
 
 
-def min_max(df: DataFrame, **columns: Column) -> DataFrame:
-    """Each expression scaled to [0, 1]; all 0 where it is constant, null where it is null."""
+def min_max(df: DataFrame, also: dict[str, Column] | None = None, **columns: Column) -> DataFrame:
+    """Each expression scaled to [0, 1]; all 0 where it is constant, null where it is null.
+
+    ``also`` are further whole-table aggregates of the same pass, which stay as columns.
+    """
     totals = {f"__{n}_{k}": f(c.cast("double")) for n, c in columns.items() for k, f in (("lo", F.min), ("hi", F.max))}
-    out = with_totals(df, **totals)
+    out = with_totals(df, **totals, **(also or {}))
     return out.withColumns({n: _over_range(c.cast("double"), F.col(f"__{n}_lo"), F.col(f"__{n}_hi")) for n, c in columns.items()}).drop(*totals)
 
 

@@ -39,6 +39,23 @@ def test_cell_table_values(spark):
     assert got[52]["scarcity"] == 1.0 and got[50]["staleness"] == 1.0 and got[50]["density"] == 1.0
 
 
+def test_cells_seen_only_after_the_split_enter_no_range(spark):
+    rows = [(50.1, -100.1, 1, "2020-01-01", "species"), (51.1, -100.1, 1, "2020-02-01", "species"), (51.1, -100.1, 2, "2020-02-01", "species"), (70.1, -100.1, 3, "2021-01-01", "species")]
+    got = {r["gi"]: (r["n_train"], r["scarcity"], r["staleness"], r["density"], r["priority"]) for r in cells.backtest_cells(obs(spark, rows), "2020-12-31", 1.0).collect()}
+    assert got == {50: (1, 1.0, 1.0, 0.0, 1.0), 51: (2, 0.0, 0.0, 1.0, 0.0)}
+    for split in ("2019-01-01", "2022-01-01"):
+        assert cells.backtest_cells(obs(spark, rows), split, 1.0).count() == 0
+
+
+def test_cells_scan_the_observations_once(spark, tmp_path):
+    rows = [(50.1 + i % 7, -100.1 - i % 5, i % 4, f"202{i % 2}-01-01", "species") for i in range(200)]
+    obs(spark, rows).write.parquet(str(tmp_path / "obs"))
+    df = cells.backtest_cells(spark.read.parquet(str(tmp_path / "obs")), "2020-12-31", 1.0)
+    assert len(df.collect()) == 35
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
 def test_expected_new_is_the_mean_over_all_draws(spark):
     from itertools import combinations
 
