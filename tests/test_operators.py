@@ -212,6 +212,26 @@ def test_acquisition(spark):
     assert all([n for _, n in p] == sorted(n for _, n in p) for p in per.values())
 
 
+def test_acquisition_of_a_large_pool_equals_the_plain_loop(spark):
+    n = 100_001
+    pool = spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % 7).alias("species"), (F.col("id") * 7919 % 4300 / 100.0).alias("lat"), (F.col("id") * 104729 % 8900 / 100.0).alias("lon"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("embedding"))
+    got = acquire.discovery_runs(pool.repartition(5), ("spatial_coverage_raw", "embedding_novelty"), 2, 4).collect()
+    i = np.arange(n)
+    at, vec = np.stack([i * 7919 % 4300 / 100.0, i * 104729 % 8900 / 100.0], 1), np.stack([np.sin(i), np.cos(i * 3)], 1)
+    vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+    apart = {"spatial_coverage_raw": lambda k: np.sqrt(((at - at[k]) ** 2).sum(axis=1)), "embedding_novelty": lambda k: 1 - vec @ vec[k]}
+    for strategy, d in apart.items():
+        for seed in range(2):
+            run = [(r["vec_id"], r["n_species"]) for r in sorted(got, key=lambda r: r["step"]) if (r["strategy"], r["seed"]) == (strategy, seed)]
+            far, seen = np.full(n, np.inf), set()
+            assert len(run) == 4
+            for step, (k, n_species) in enumerate(run):
+                assert step == 0 or far[k] >= far.max() - 1e-12
+                seen.add(k % 7)
+                assert n_species == len(seen)
+                far = np.minimum(far, d(k))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "inat_east_Aves.csv").write_text("id,lat,lon,taxon,day,rank\n1,50.0,-100.0,7,2020-01-01,species\n2,x,-100.0,7,bad,species\n")
     (tmp_path / "inat_Insecta.csv").write_text("id,lat,lon,taxon,day,rank\n3,50.0,-100.0,7,2020-13-01,species\n")
