@@ -61,6 +61,11 @@ def test_full_numbers_of_permutations_runs_and_picks(spark):
     assert readout[readout["at"] == 50].set_index("seed")["n_species"].to_dict() == curve[curve["step"] == 49].set_index("seed")["n_species"].to_dict()
 
 
+def test_raw_coverage_makes_all_runs_and_picks(spark):
+    runs = QUERIES["dom38_spatial_coverage_raw"](spark, DATA).toPandas()
+    assert len(runs) == 20 * 300 and (runs.groupby("seed")["step"].max() == 299).all()
+
+
 def test_contrasts_and_headline(spark):
     rng = np.random.default_rng(5)
     at = {s: rng.integers(20, 30, 12) for s in acquire.STRATEGIES}
