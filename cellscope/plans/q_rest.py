@@ -159,10 +159,10 @@ def win8(spark, sf):
     return W.impact_percentile(q_map.grid(spark, sf), "temp", "p", C.KEYS).select("gi", "gj", "p")
 
 
-@query("win13_curve_readout", f"WITH o AS ({q_more._ORDER}) SELECT seed, b.b AS at, o.n_species FROM o JOIN (VALUES (5), (10), (50)) b(b) ON o.step = least(b.b, {q_more.BUDGET}) - 1")
+@query("win13_curve_readout", f"WITH o AS ({q_more._order_sql(q_more.FULL_SEEDS, q_more.FULL_BUDGET)}) SELECT seed, b.b AS at, o.n_species FROM o JOIN (VALUES (5), (10), (50)) b(b) ON o.step = least(b.b, {q_more.FULL_BUDGET}) - 1")
 def win13(spark, sf):
-    runs = q_more.dom36(spark, sf).withColumn("at", F.explode(F.array(F.lit(5), F.lit(10), F.lit(50))))
-    return runs.where(F.col("step") == F.least(F.col("at"), F.lit(q_more.BUDGET)) - 1).select("seed", "at", "n_species")
+    runs = q_more.dom36_full(spark, sf).withColumn("at", F.explode(F.array(F.lit(5), F.lit(10), F.lit(50))))
+    return runs.where(F.col("step") == F.least(F.col("at"), F.lit(q_more.FULL_BUDGET)) - 1).select("seed", "at", "n_species")
 
 
 @query("win13_curve_readout_full", f"WITH o AS ({q_more._order_sql(q_more.FULL_SEEDS, q_more.FULL_BUDGET)}) SELECT seed, b.b AS at, o.n_species FROM o JOIN (VALUES (5), (10), (50)) b(b) ON o.step = b.b - 1")

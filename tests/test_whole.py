@@ -66,6 +66,13 @@ def test_raw_coverage_makes_all_runs_and_picks(spark):
     assert len(runs) == 20 * 300 and (runs.groupby("seed")["step"].max() == 299).all()
 
 
+def test_readout_is_of_the_full_curve(spark):
+    curve = QUERIES["dom36_random_acquisition_full"](spark, DATA).toPandas()
+    readout = QUERIES["win13_curve_readout"](spark, DATA).toPandas()
+    assert len(readout) == 3 * 20
+    assert readout[readout["at"] == 50].set_index("seed")["n_species"].to_dict() == curve[curve["step"] == 49].set_index("seed")["n_species"].to_dict()
+
+
 def test_contrasts_and_headline(spark):
     rng = np.random.default_rng(5)
     at = {s: rng.integers(20, 30, 12) for s in acquire.STRATEGIES}
