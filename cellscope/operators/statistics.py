@@ -6,11 +6,18 @@ run gets the same ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cellscope.functions.digests import CHUNK, keyed_ints
+from cellscope.functions.shipping import ship
 from cellscope.operators.scaling import average_rank, with_totals
 
 SLACK = 1e-12
@@ -89,22 +96,39 @@ def lift(df: DataFrame, score: str, value: str, keys: list[str], share: float =
     return top.select(F.col("__k").alias("topk"), F.col("__n").alias("n_cells"), captured.alias("captured"), area.alias("area_baseline"), (captured / area).alias("lift_vs_area"))
 
 
-def hash_int(*parts: Column) -> Column:
-    """31 bits of an MD5 digest."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint") % (1 << 31)
-
-
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Dealt over the tasks, as a small file is one partition and each row meets every replicate."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def sign_flip_p(pairs: DataFrame, replicates: int, by: list[str] | None = None) -> DataFrame:
-    """Two-sided paired sign-flip test on the mean of ``d`` over ``unit``: (by.., mean_diff, p)."""
+    """Two-sided paired sign-flip test on the mean of ``d`` over ``unit``: (by.., mean_diff, p).
+
+    The sign of a unit in a replicate is the last bit of their hash. Each task adds up all replicates
+    over its own units."""
     by = by or []
-    draws = _spread(pairs, "unit").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
-    sign = F.when(hash_int(F.lit("sign"), F.col("b"), F.col("unit")) % 2 == 0, 1.0).otherwise(-1.0)
-    means = draws.groupBy(*by, "b").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
+    ship(pairs.sparkSession)
+    rows = _spread(pairs.where("d IS NOT NULL").select(*by, F.coalesce(F.col("unit").cast("string"), F.lit("")).alias("unit"), F.col("d").cast("double").alias("d")), "unit")
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("b", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = {}, {}
+        for batch in batches:
+            d, units = batch["d"].to_numpy(), batch["unit"].to_pylist()
+            keys = list(zip(*[batch[c].to_pylist() for c in by])) if by else [()] * len(d)
+            for key in dict.fromkeys(keys):
+                at = np.flatnonzero([k == key for k in keys]) if by else np.arange(len(d))
+                total = sums.setdefault(key, np.zeros(replicates))
+                counts[key] = counts.get(key, 0) + len(at)
+                mine = d[at]
+                for some, members, drawn in keyed_ints("sign", 0, replicates, [units[i] for i in at]):
+                    total[some] += mine[members].sum() - 2.0 * ((drawn & np.uint32(1)).astype(np.float64) @ mine[members])
+        for key, total in sums.items():
+            columns = [pa.array([k] * replicates, t) for k, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(replicates)), pa.array(total), pa.array(np.full(replicates, counts[key]))], names=[*by, "b", "s", "n"])
+
+    types = [to_arrow_type(rows.schema[c].dataType) for c in by]
+    means = rows.mapInArrow(add, schema).groupBy(*by, "b").agg(F.abs(F.sum("s") / F.sum("n")).alias("m"))
     seen = F.broadcast(pairs.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("most")))
     joined = means.join(seen, by) if by else means.crossJoin(seen)
     return joined.groupBy(*by, "mean_diff", "most").agg(F.avg((F.col("m") >= F.abs("mean_diff") - SLACK).cast("double")).alias("p")).select(
@@ -115,12 +139,40 @@ def sign_flip_p(pairs: DataFrame, replicates: int, by: list[str] | None = None)
 def bootstrap_interval(pairs: DataFrame, replicates: int, by: list[str] | None = None) -> DataFrame:
     """(by.., lo, hi), the 95 % interval of the mean of ``d``: draw i of replicate b is the row at hash mod n.
 
-    The rows grow with the input, so whether they are broadcast is the planner's choice by their size."""
+    Every replicate draws from all rows, so ``d`` goes to every worker, eight bytes a row; the tasks share
+    the replicates, and no draw is a row of a table."""
     by = by or []
-    rows = pairs.select(*by, "d", (F.row_number().over(Window.partitionBy(*by).orderBy("unit")) - 1).alias("i"))
-    n = F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("n")))
-    slots = _spread(rows.select(*by, F.col("i").alias("slot")), "slot").crossJoin(F.broadcast(pairs.sparkSession.range(replicates).select(F.col("id").alias("b"))))
-    draws = slots.join(n, by) if by else slots.crossJoin(n)
-    draws = draws.select(*by, "b", (hash_int(F.lit("boot"), F.col("b"), F.col("slot")) % F.col("n")).cast("int").alias("i"))
-    means = draws.join(rows, [*by, "i"]).groupBy(*by, "b").agg(F.avg("d").alias("m"))
+    spark = pairs.sparkSession
+    ship(spark)
+    rows = pairs.select(*by, F.col("d").cast("double").alias("d"), "unit").toArrow()
+    types = [to_arrow_type(pairs.schema[c].dataType) for c in by]
+    rows = rows.sort_by([(c, "ascending") for c in [*by, "unit"]]) if len(rows) else rows
+    d = rows["d"].to_numpy()
+    keys = list(zip(*[rows[c].to_pylist() for c in by])) if by else [()] * len(d)
+    starts = [i for i in range(len(d)) if i == 0 or keys[i] != keys[i - 1]] if by else [0][: len(d)]
+    groups = spark.sparkContext.broadcast([(keys[i], d[i:j]) for i, j in zip(starts, [*starts[1:], len(d)])])
+    del rows, keys
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch["b"].to_numpy()
+            if not len(b):
+                continue
+            first, last = int(b[0]), int(b[-1]) + 1
+            for key, values in groups.value:
+                n, given = len(values), ~np.isnan(values)
+                whole = given.all()
+                values = values if whole else np.where(given, values, 0.0)
+                total, count = np.zeros(last - first), np.zeros(last - first)
+                for slot in range(0, n, CHUNK):
+                    for some, _, drawn in keyed_ints("boot", first, last, [str(i) for i in range(slot, min(n, slot + CHUNK))]):
+                        at = (drawn % np.uint32(n)).astype(np.intp)
+                        total[some] += values[at].sum(axis=1)
+                        count[some] += at.shape[1] if whole else given[at].sum(axis=1)
+                columns = [pa.array([k] * len(b), t) for k, t in zip(key, types)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.divide(total, count, out=np.full(len(b), np.nan), where=count > 0))], names=[*by, "m"])
+
+    tasks = min(replicates, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    schema = T.StructType([*[pairs.schema[c] for c in by], T.StructField("m", T.DoubleType())])
+    means = spark.range(0, replicates, 1, tasks).select(F.col("id").alias("b")).mapInArrow(draw, schema).where(~F.isnan("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
