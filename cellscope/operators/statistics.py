@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cellscope.functions.digests import CHUNK, keyed_ints
 from cellscope.functions.shipping import ship
+from cellscope.operators.ordered import mean_ranks
 from cellscope.operators.scaling import average_rank, with_totals
 
 SLACK = 1e-12
@@ -50,6 +51,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, min_n:
     return out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
 
 
+def spearman_of_rows(df: DataFrame, x: str, y: str, min_n: int = 0) -> DataFrame:
+    """``spearman`` of a table that grows with the observations: no window sees the whole of it."""
+    rows = finite(df, x, y).select(x, y)
+    ranked = rows.join(mean_ranks(rows, x).withColumnRenamed("__rank", "__x"), x).join(mean_ranks(rows, y).withColumnRenamed("__rank", "__y"), y)
+    out = ranked.agg(F.count("*").alias("n"), safe_corr(F.col("__x"), F.col("__y")).alias("rho"))
+    return out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
+
+
 def permutation_null(df: DataFrame, score: str, outcome: str, keys: list[str], replicates: int, most: int | None = None) -> DataFrame:
     """One row: rho, p (no smoothing), mean and deviation of the null, and the least p above 0.
 
