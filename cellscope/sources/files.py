@@ -15,13 +15,25 @@ def read_csv(spark: SparkSession, path: str, schema: str = OBS_SCHEMA, tolerant:
     return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE").csv(path)
 
 
-def read_by_group(spark: SparkSession, pattern: str, schema: str, name: str = r"inat_(?:east_)?([A-Za-z]+)") -> DataFrame:
-    """Files of several groups, the group and region taken from the file's name."""
-    rows = read_csv(spark, pattern, schema)
-    file = F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1)
+_GROUP = r"inat_(?:east_)?([A-Za-z]+)"
+
+
+def _with_group(rows: DataFrame, path: Column, name: str) -> DataFrame:
+    file = F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
     return rows.withColumns({"group": F.regexp_extract(file, name, 1), "region": F.when(F.contains(file, F.lit("inat_east_")), "east").otherwise("bc")})
 
 
+def read_by_group(spark: SparkSession, pattern: str, schema: str = OBS_SCHEMA, name: str = _GROUP) -> DataFrame:
+    """Files of several groups, the group and region taken from the file's name."""
+    return _with_group(read_csv(spark, pattern, schema), F.input_file_name(), name)
+
+
+def count_by_group(spark: SparkSession, pattern: str, schema: str = OBS_SCHEMA, name: str = _GROUP) -> DataFrame:
+    """(group, region, n): the rows of ``read_by_group``, counted by file, so that a name is read once a file."""
+    files = read_csv(spark, pattern, schema).groupBy(F.input_file_name().alias("__file")).agg(F.count("*").alias("n"))
+    return _with_group(files, F.col("__file"), name).groupBy("group", "region").agg(F.sum("n").alias("n"))
+
+
 def day_of(text: Column) -> Column:
     """A date, null where the text is none."""
     return text.try_cast("date")

@@ -238,6 +238,8 @@ def test_sources(spark, tmp_path):
     both = files.read_by_group(spark, str(tmp_path / "*.csv"), files.OBS_SCHEMA).withColumn("d", files.day_of(F.col("day")))
     got = {r["id"]: (r["group"], r["region"], r["d"] is None) for r in both.collect()}
     assert got == {1: ("Aves", "east", False), 2: ("Aves", "east", True), 3: ("Insecta", "bc", True)}
+    counted = files.count_by_group(spark, str(tmp_path / "*.csv"))
+    assert sorted(tuple(r) for r in counted.collect()) == [("Aves", "east", 2), ("Insecta", "bc", 1)]
     assert files.read_csv(spark, str(tmp_path / "inat_east_Aves.csv"), tolerant=True).collect()[0]["id"] == 1
     assert [r["id"] for r in files.keyset_page(both, "id", 3, 5).collect()] == [2, 1]
     record = provenance.file_records(spark, str(tmp_path / "*.csv"))
