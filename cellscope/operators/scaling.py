@@ -30,6 +30,12 @@ def min_max(df: DataFrame, also: dict[str, Column] | None = None, **columns: Col
     return out.withColumns({n: _over_range(c.cast("double"), F.col(f"__{n}_lo"), F.col(f"__{n}_hi")) for n, c in columns.items()}).drop(*totals)
 
 
+def min_max_within(df: DataFrame, by: list[str], **columns: Column) -> DataFrame:
+    """``min_max`` within each group of a cell table."""
+    w = Window.partitionBy(*by)
+    return df.withColumns({n: _over_range(c.cast("double"), F.min(c.cast("double")).over(w), F.max(c.cast("double")).over(w)) for n, c in columns.items()})
+
+
 def over_max(df: DataFrame, **columns: Column) -> DataFrame:
     """Each expression over its maximum (over 1 where that is 0)."""
     totals = {f"__{n}": F.max(c.cast("double")) for n, c in columns.items()}

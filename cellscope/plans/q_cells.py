@@ -216,12 +216,10 @@ _SENS = " UNION ALL ".join(
 
 @query("dom8_sensitivity", _SENS, "res rho")
 def dom8(spark, sf):
-    out = None
-    for g in GRIDS:
-        for s in SPLITS:
-            one = S.spearman(_cells(spark, sf, g, s), "priority", "rare_newK").select(F.lit(g).alias("res"), F.lit(s).alias("split"), "n", "rho")
-            out = one if out is None else out.unionByName(one)
-    return out
+    cells = C.nested_backtests(_obs(spark, sf), SPLITS, GRIDS[0], tuple(int(g / GRIDS[0]) for g in GRIDS))
+    found = S.spearman(cells, "priority", "rare_newK", ["res", "split"])
+    every = spark.createDataFrame([(g, s) for g in GRIDS for s in SPLITS], "res double, split string")
+    return every.join(found, ["res", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 _CONS = f"""WITH w AS ({_weighted_sql(f'{_RARITY}, wt AS (SELECT taxon, rarity AS weight FROM rar)')}), p AS (WITH {cells_sql(RES)} SELECT gi, gj, priority FROM cells), j AS (SELECT * FROM p JOIN w USING (gi, gj))

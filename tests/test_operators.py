@@ -56,6 +56,28 @@ def test_cells_scan_the_observations_once(spark, tmp_path):
     assert final.count("FileScan parquet") == 1
 
 
+def test_nested_backtests_equal_single_ones_in_one_scan(spark, tmp_path):
+    rows = [(50.1 + i * 7 % 23 / 2, -100.1 - i * 5 % 31 / 2, i * i % 37, f"202{i % 3}-0{1 + i % 9}-11", "species") for i in range(3000)]
+    obs(spark, rows).write.parquet(str(tmp_path / "obs"))
+    given, splits = spark.read.parquet(str(tmp_path / "obs")), ("2021-03-01", "2022-05-01", "2019-01-01", "2030-01-01")
+    df = cells.nested_backtests(given, splits, 2.5, (1, 2))
+    got = {(r["res"], r["split"], r["gi"], r["gj"]): (r["priority"], r["rare_newK"]) for r in df.collect()}
+    want = {(g, s, r["gi"], r["gj"]): (r["priority"], r["rare_newK"]) for g in (2.5, 5.0) for s in splits for r in cells.backtest_cells(given, s, g).collect()}
+    assert got == want and {k[:2] for k in got} == {(g, s) for g in (2.5, 5.0) for s in splits[:2]}
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
+def test_cells_hold_a_histogram_of_counts(spark):
+    """A cell with many new taxa keeps one entry for each number of observations."""
+    rows = [(50.5, -100.5, 0, "2020-01-01", "species")] + [(50.5, -100.5, 1 + i // 2 if i < 200 else i, "2022-01-01", "species") for i in range(500)]
+    taxa = cells.by_cell_and_taxon(cells.binned(obs(spark, rows), 1.0), "2021-01-01")
+    [row] = cells._by_cell(taxa, cells.KEYS).collect()
+    assert sorted((e["c"], e["m"]) for e in row["new_counts"]) == [(1, 300), (2, 100)] and row["new_species"] == 400
+    plain, kept = cells.backtest_cells(obs(spark, rows), "2021-01-01", 1.0).first(), F.array(*[F.lit(2)] * 100, *[F.lit(1)] * 300)
+    assert plain["rare_newK"] == spark.range(1).select(cells.expected_new(F.lit(500), kept, 5)).first()[0]
+
+
 def test_expected_new_is_the_mean_over_all_draws(spark):
     from itertools import combinations
 
